@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmerge.llm.decontaminate import decontaminate
 from driftmerge.llm.suffix_dedup import remove_repeats
 
 
@@ -19,8 +20,41 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP2_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), windows as (
+  select distinct item_id, size, array_to_string(w[i : i + size - 1], ' ') as gram
+  from (select item_id, w, least(13, len(w)) as size, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from b where len(w) > 0)
+), places as (
+  select doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') as gram
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from d, (select distinct size from windows))
+), hits as (
+  select doc_id, item_id, i, size from places join windows using (size, gram)
+), hit_words as (
+  select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + size)) as k from hits) group by doc_id
+), hit_items as (
+  select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256
+  from (select distinct doc_id, item_id::varchar as item from hits) group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit_words using (doc_id) left join hit_items using (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_winnowing_decontamination": op2_winnowing_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_winnowing_decontamination": OP2_SQL,
+}
