@@ -2,14 +2,16 @@
 
 1. Each text becomes the set of its five-word shingles and a signature of N least hashes. Equal sets are one class from here on.
 2. Classes are posted under each pair of coordinate and value. Pairs of classes that agree in T coordinates or more are sought:
-   with all pairs of one class ordered from rare to frequent, two such classes share one among the first N - T + 1 of either
+   with the values of a class ordered from rare to frequent, two such classes share one among the first N - T + 1 of either
    (prefix filter), so frequent values are hardly ever posted, and values that occur once are skipped.
-3. Under each posted value, members are first compared with one member only. Components are formed, and only members of
-   different components that still meet under some value are then compared with each other.
-4. Each candidate pair's agreeing coordinates are counted; pairs of T or more are confirmed on the full sets of both texts.
-
-With N = 48 and T = 20, two sets of similarity 0.75 are missed with a probability of about one in a million; those are the only
-links that can be lost.
+3. This is done twice: a short signature finds the classes that have T values in common with others at all, and these few are
+   signed and posted again with a long one, whose T can be close to the threshold.
+4. Under each posted value, members are first compared with one hub only. Components are formed, and only members that are in
+   another component than the hub are then compared with all others.
+5. Each candidate pair's agreeing coordinates are counted; pairs of T or more are confirmed on the full sets of both texts.
+
+Two sets of similarity 0.75 agree in fewer than 20 of 48 or 160 of 256 coordinates with a probability of a few in a million; those
+are the only links that can be lost.
 """
 
 from __future__ import annotations
@@ -25,16 +27,16 @@ from pyspark.sql import functions as F
 from driftmerge.llm.common import LOWER, SPACED_WORDS, Rolling, buffers, chunks, shingle_hashes, stage, words
 from driftmerge.llm.components import components
 
-COORDINATES = 48
-LEAST_MATCHES = 20
+#: (N, T) of the short and of the long signature.
+SHORT, LONG = (48, 20), (256, 160)
 SHINGLE = 5
 PERCENT = 75
 #: Pairs of 32 bytes; so many at most are broadcast.
 BROADCAST_PAIRS = 100_000
 
 _random = np.random.default_rng(7)
-_XOR = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)[:, None]
-_ODD = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+_XOR = _random.integers(0, 1 << 63, LONG[0], dtype=np.uint64)
+_ODD = _random.integers(0, 1 << 63, LONG[0], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -51,18 +53,22 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
                 yield shingle_hashes(word_hash[a:b], b - a) if b > a else grams[:0]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    return ((((shingles ^ _XOR) * _ODD) >> np.uint64(32)).min(axis=1)).astype(np.uint32)
+def signature(shingles: np.ndarray, n: int) -> np.ndarray:
+    return ((((shingles ^ _XOR[:n, None]) * _ODD[:n, None]) >> np.uint64(32)).min(axis=1)).astype(np.uint32).view(np.int32)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kind, count, sign = [], [], []
-        for s in shingle_sets(*buffers(batch.column("_text"))):
-            count.append(len(s))
-            kind.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            sign.append(signature(s).view(np.int32) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), pa.array(count, pa.int64()), pa.array(kind, pa.binary()), pa.array(sign, pa.list_(pa.int32()))], ["_id", "_key", "n_shingles", "kind", "sign"])
+def _sign(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, count, sign = [], [], []
+            for s in shingle_sets(*buffers(batch.column("_text"))):
+                count.append(len(s))
+                kind.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sign.append(signature(s, n) if len(s) else None)
+            made = [pa.array(count, pa.int64()), pa.array(kind, pa.binary()), pa.array(sign, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_key")), *made], ["_id", "_key", "n_shingles", "kind", "sign"])
+
+    return run
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,16 +82,17 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _agreeing(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """pairs (u, v) with the number of coordinates in which they agree, T at least."""
-    u, v = (kinds.select(F.col("kind").alias(x), F.col("sign").alias(f"sign_{x}")) for x in "uv")
+    """pairs (u, v) with the number of coordinates of the long signature in which they agree, T at least; sets whose sizes rule the link out are gone."""
+    u, v = (kinds.select(F.col("kind").alias(x), F.col("sign").alias(f"sign_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "uv")
+    sizes = 100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v")
     agree = F.size(F.filter(F.zip_with("sign_u", "sign_v", lambda a, b: a == b), lambda x: x))
-    return pairs.join(u, "u").join(v, "v").select("u", "v", agree.alias("agree")).where(F.col("agree") >= LEAST_MATCHES)
+    return pairs.join(u, "u").join(v, "v").select(*pairs.columns, agree.alias("agree"), sizes.alias("_sizes")).where("_sizes").drop("_sizes").where(F.col("agree") >= LONG[1])
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough. A few pairs are sent to the texts, many are joined by shuffles."""
     few = pairs.count() <= BROADCAST_PAIRS
-    u, v = (texts.select(F.col("kind").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
+    u, v = (texts.select(F.col("kind").alias(x), F.col("_text").alias(f"text_{x}")) for x in "uv")
     kind = dict(pairs.dtypes)["u"]
     if few:
         named = F.broadcast(pairs)
@@ -94,6 +101,16 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").select("u", "v", "text_u", "text_v").mapInArrow(_confirm, f"u {kind}, v {kind}")
 
 
+def _prefix(kinds: DataFrame, n: int, least: int) -> DataFrame:
+    """Classes that have ``least`` values in common with others: kind, weight (how often others have them), the values to post."""
+    posted = kinds.select("kind", F.explode(F.transform("sign", lambda x, i: F.xxhash64(i, x))).alias("at"))
+    often = posted.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # The k values that others have too come last; values of one class alone take up the first n - k places.
+    values = posted.join(often, "at").groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("n", "at"))).alias("values"))
+    weight = F.aggregate("values", F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    return values.where(F.size("values") >= least).select("kind", weight.alias("weight"), F.slice("values.at", F.lit(1), F.size("values") - (least - 1)).alias("values"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each of docs: the id, n_shingles, component_id (least id of its group) and kept (component_id = id).
 
@@ -103,33 +120,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).withColumn("_key", F.unhex(F.md5(F.coalesce("_text", F.lit("")))))
     id_type = dict(rows.dtypes)["_id"]
-    signed = stage(rows.mapInArrow(_sign, f"_id {id_type}, _key binary, n_shingles long, kind binary, sign array<int>"))
+    signed = stage(rows.mapInArrow(_sign(SHORT[0]), f"_id {id_type}, _key binary, n_shingles long, kind binary, sign array<int>"))
     kinds = stage(signed.where("kind is not null").groupBy("kind").agg(F.min("_id").alias("least_id"), F.min("_key").alias("key"), F.first("sign").alias("sign")))
 
-    posted = kinds.select("kind", F.explode(F.transform("sign", lambda x, i: F.xxhash64(i, x))).alias("at"))
-    often = posted.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # The k values that others have too come last; values of one class alone take up the first 48 - k places.
-    prefix = posted.join(often, "at").groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("n", "at"))).alias("values"))
-    prefix = prefix.where(F.size("values") >= LEAST_MATCHES).select("kind", F.explode(F.slice("values", F.lit(1), F.size("values") - (LEAST_MATCHES - 1))).alias("x"))
-    prefix = stage(prefix.select("kind", "x.at"))
-    members = prefix.select("kind").distinct().join(kinds, "kind").select("kind", "key", "sign")
-    texts = rows.groupBy("_key").agg(F.first("_text").alias("text")).join(members.select("kind", "key"), F.col("_key") == F.col("key")).select("kind", "text")
-    texts, members = stage(texts), stage(members.select("kind", "sign"))
-
-    # First: each class with the one, of the least members it meets, that agrees in most coordinates.
-    least = prefix.groupBy("at").agg(F.min("kind").alias("u"))
-    pairs = prefix.join(least, "at").where("u != kind").select("u", F.col("kind").alias("v")).distinct()
-    tested = stage(_agreeing(pairs, members).groupBy("v").agg(F.max_by("u", F.struct("agree", "u")).alias("u")).select("u", "v"))
+    near = _prefix(kinds, *SHORT).select("kind").join(kinds, "kind").select("kind", "key")
+    texts = rows.groupBy("_key").agg(F.first("_text").alias("_text")).join(near, F.col("_key") == F.col("key")).select("kind", "_text")
+    texts = stage(texts)
+    members = stage(texts.select(F.lit(None).cast("int").alias("_id"), F.lit(None).cast("binary").alias("_key"), "_text").mapInArrow(_sign(LONG[0]), "_id int, _key binary, n_shingles long, kind binary, sign array<int>").drop("_id", "_key"))
+    prefix = stage(_prefix(members, *LONG))
+    posts = prefix.select("kind", "weight", F.explode("values").alias("at"))
+
+    # First: each class with that one of the hubs it meets with which it agrees most. A value's hub is its member with the most
+    # frequent values, the one in the middle of a group.
+    hubs = posts.groupBy("at").agg(F.max(F.struct("weight", "kind")).alias("hub"))
+    pairs = posts.join(hubs, "at").where("hub.kind != kind").select(F.greatest("hub.kind", "kind").alias("u"), F.least("hub.kind", "kind").alias("v"), "kind").distinct()
+    tested = stage(_agreeing(pairs, members).groupBy("kind").agg(F.max_by(F.struct("u", "v"), F.struct("agree", "u", "v")).alias("x")).select("x.*").distinct())
     links = stage(_confirmed(tested, texts))
 
-    # Then: all the pairs that meet under a value and aren't joined yet.
-    roots = prefix.join(components(links), F.col("kind") == F.col("node"), "left").select("at", "kind", F.coalesce("root", "kind").alias("root"))
-    open_values = roots.groupBy("at").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("at")
-    roots = stage(roots.join(open_values, "at"))
-    mine, other = roots.select("at", F.col("kind").alias("u"), F.col("root").alias("root_u")), roots.select("at", F.col("kind").alias("v"), F.col("root").alias("root_v"))
-    pairs = mine.join(other, "at").where("u < v and root_u != root_v").select("u", "v").distinct().join(tested, ["u", "v"], "left_anti")
-    more = stage(_agreeing(pairs, members).select("u", "v"))
-    links = links.unionByName(_confirmed(more, texts))
+    # Second: the hub of each value with all members that aren't joined with it yet; third: those left with all other members.
+    for left_only in (False, True):
+        rooted = prefix.join(components(links), F.col("kind") == F.col("node"), "left").select("kind", "weight", "values", F.coalesce("root", "kind").alias("root"))
+        rooted = rooted.select("kind", "weight", "root", "values", F.explode("values").alias("at"))
+        hubs = rooted.groupBy("at").agg(F.max(F.struct("weight", "kind", "root")).alias("hub"), (F.min("root") != F.max("root")).alias("open")).where("open").select("at", "hub")
+        rooted = stage(rooted.join(hubs, "at"))
+        apart = rooted.where("root != hub.root")
+        if left_only:
+            # A pair is made under the least value that both have posted, and nowhere else.
+            mine, other = (x.select("at", *(F.col(c).alias(f"{c}_{n}") for c in ("kind", "root", "values"))) for x, n in ((apart, 1), (rooted, 2)))
+            meet = F.array_min(F.array_intersect("values_1", "values_2"))
+            pairs = mine.join(other, (mine["at"] == other["at"]) & (F.col("root_1") != F.col("root_2")) & (meet == mine["at"])).select(F.greatest("kind_1", "kind_2").alias("u"), F.least("kind_1", "kind_2").alias("v"))
+        else:
+            pairs = apart.select(F.greatest("hub.kind", "kind").alias("u"), F.least("hub.kind", "kind").alias("v"))
+        fresh = stage(_agreeing(pairs.distinct().join(tested, ["u", "v"], "left_anti"), members).select("u", "v"))
+        tested = tested.unionByName(fresh)
+        links = stage(links.unionByName(_confirmed(fresh, texts)))
 
     group = kinds.join(components(links), F.col("kind") == F.col("node"), "left").select("kind", F.coalesce("root", "kind").alias("root"), "least_id")
     group = group.join(group.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("kind", "component_id")
