@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmerge.llm.decontaminate import decontaminate
+from driftmerge.llm.near_dedup import near_duplicates
 from driftmerge.llm.suffix_dedup import remove_repeats
 
 
@@ -25,6 +26,31 @@ def op2_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_signature_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as gram from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), pairs as (
+  select a.doc_id as u, b.doc_id as v, count(*) as k from s a join s b using (gram) where a.doc_id < b.doc_id group by all
+), links as (
+  select u, v from pairs join n a on a.doc_id = u join n b on b.doc_id = v where 100 * k >= 75 * (a.n + b.n - k)
+), ends as (
+  select u, v from links union all select v, u from links
+), reach(doc_id, root) as (
+  select doc_id, doc_id from d union select v, root from reach join ends on u = reach.doc_id
+)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from (select doc_id, min(root) as component_id from reach group by doc_id) left join n using (doc_id)
+"""
+
+
 OP2_SQL = r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
@@ -53,8 +79,10 @@ from d left join hit_words using (doc_id) left join hit_items using (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
+    "op9_signature_inverted_join": op9_signature_inverted_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_winnowing_decontamination": OP2_SQL,
+    "op9_signature_inverted_join": OP9_SQL,
 }
