@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmerge.llm.decontaminate import decontaminate
+from driftmerge.llm.media import media_digest
 from driftmerge.llm.near_dedup import near_duplicates
+from driftmerge.llm.sharding import sharded
 from driftmerge.llm.suffix_dedup import remove_repeats
 
 
@@ -26,6 +28,16 @@ def op2_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sized = docs.select("doc_id", (F.octet_length("text") + 1).cast("bigint").alias("size"), F.crc32("text").alias("text_crc32"))
+    return sharded(sized, "doc_id").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_signature_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +91,8 @@ from d left join hit_words using (doc_id) left join hit_items using (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
+    "op3_consistent_hash_ring": op3_consistent_hash_ring,
+    "op4_lossless_webp": op4_lossless_webp,
     "op9_signature_inverted_join": op9_signature_inverted_join,
 }
 
