@@ -12,6 +12,7 @@ from driftmerge.llm.media import media_digest
 from driftmerge.llm.near_dedup import near_duplicates
 from driftmerge.llm.sharding import sharded
 from driftmerge.llm.suffix_dedup import remove_repeats
+from driftmerge.llm.toxicity import learn, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,13 @@ def op4_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = learn(docs.where(~held_out), _table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_signature_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -93,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
     "op3_consistent_hash_ring": op3_consistent_hash_ring,
     "op4_lossless_webp": op4_lossless_webp,
+    "op5_compression_distance": op5_compression_distance,
     "op9_signature_inverted_join": op9_signature_inverted_join,
 }
 
