@@ -7,7 +7,7 @@
 3. This is done twice: a short signature finds the classes that have T values in common with others at all, and these few are
    signed and posted again with a long one, whose T can be close to the threshold.
 4. Under each posted value, members are first compared with one hub only. Components are formed, and only members that are in
-   another component than the hub are then compared with all others.
+   another component than the hub are then compared with all others, unless both have too many shingles to themselves.
 5. Each candidate pair's agreeing coordinates are counted; pairs of T or more are confirmed on the full sets of both texts.
 
 Two sets of similarity 0.75 agree in fewer than 20 of 48 or 160 of 256 coordinates with a probability of a few in a million; those
@@ -71,6 +71,25 @@ def _sign(n: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kinds = batch.column("kind")
+        for i, s in enumerate(shingle_sets(*buffers(batch.column("_text")))):
+            yield pa.RecordBatch.from_arrays([kinds.take(pa.array(np.full(len(s), i))), pa.array(s.view(np.int64))], ["kind", "shingle"])
+
+
+def _sharing(involved: DataFrame, texts: DataFrame) -> DataFrame:
+    """(kind, shared): how many shingles of each of the involved classes occur in others of them too.
+
+    Two sets have no more in common than the lesser of their two numbers, which bounds their similarity. That is exact, and in
+    a large group of texts that are just too far apart it is what keeps them from being compared all with all.
+    """
+    made = f"kind {dict(texts.dtypes)['kind']}, shingle long"
+    posted = texts.join(involved, "kind", "left_semi").mapInArrow(_shingles, made)
+    often = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
+    return posted.join(often, "shingle").groupBy("kind").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -145,10 +164,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rooted = stage(rooted.join(hubs, "at"))
         apart = rooted.where("root != hub.root")
         if left_only:
+            shared = stage(_sharing(rooted.select("kind").distinct(), texts).join(members.select("kind", "n_shingles"), "kind"))
+            rooted, apart = (x.join(shared, "kind") for x in (rooted, apart.where("root != hub.root")))
             # A pair is made under the least value that both have posted, and nowhere else.
-            mine, other = (x.select("at", *(F.col(c).alias(f"{c}_{n}") for c in ("kind", "root", "values"))) for x, n in ((apart, 1), (rooted, 2)))
+            mine, other = (x.select("at", *(F.col(c).alias(f"{c}_{n}") for c in ("kind", "root", "values", "shared", "n_shingles"))) for x, n in ((apart, 1), (rooted, 2)))
+            common = F.least("shared_1", "shared_2")
+            close = 100 * common >= PERCENT * (F.col("n_shingles_1") + F.col("n_shingles_2") - common)
             meet = F.array_min(F.array_intersect("values_1", "values_2"))
-            pairs = mine.join(other, (mine["at"] == other["at"]) & (F.col("root_1") != F.col("root_2")) & (meet == mine["at"])).select(F.greatest("kind_1", "kind_2").alias("u"), F.least("kind_1", "kind_2").alias("v"))
+            pairs = mine.join(other, (mine["at"] == other["at"]) & (F.col("root_1") != F.col("root_2")) & close & (meet == mine["at"])).select(F.greatest("kind_1", "kind_2").alias("u"), F.least("kind_1", "kind_2").alias("v"))
         else:
             pairs = apart.select(F.greatest("hub.kind", "kind").alias("u"), F.least("hub.kind", "kind").alias("v"))
         fresh = stage(_agreeing(pairs.distinct().join(tested, ["u", "v"], "left_anti"), members).select("u", "v"))
