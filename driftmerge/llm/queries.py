@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftmerge.llm.decontaminate import decontaminate
 from driftmerge.llm.media import media_digest
 from driftmerge.llm.near_dedup import near_duplicates
+from driftmerge.llm.pieces import decode, encode
 from driftmerge.llm.sharding import sharded
 from driftmerge.llm.suffix_dedup import remove_repeats
 from driftmerge.llm.toxicity import learn, toxicity
@@ -46,6 +47,13 @@ def op5_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op7_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and whether they give the text back."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decode(encode(docs))
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "piece_score", "ids", F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("restored"))
+
+
 def op9_signature_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -102,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_consistent_hash_ring": op3_consistent_hash_ring,
     "op4_lossless_webp": op4_lossless_webp,
     "op5_compression_distance": op5_compression_distance,
+    "op7_shared_prefix_viterbi": op7_shared_prefix_viterbi,
     "op9_signature_inverted_join": op9_signature_inverted_join,
 }
 
