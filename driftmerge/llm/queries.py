@@ -11,6 +11,7 @@ from driftmerge.llm.decontaminate import decontaminate
 from driftmerge.llm.media import media_digest
 from driftmerge.llm.near_dedup import near_duplicates
 from driftmerge.llm.pieces import decode, encode
+from driftmerge.llm.quality import judged
 from driftmerge.llm.sharding import sharded
 from driftmerge.llm.suffix_dedup import remove_repeats
 from driftmerge.llm.toxicity import learn, toxicity
@@ -54,6 +55,10 @@ def op7_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "piece_score", "ids", F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("restored"))
 
 
+def op8_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_signature_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lossless_webp": op4_lossless_webp,
     "op5_compression_distance": op5_compression_distance,
     "op7_shared_prefix_viterbi": op7_shared_prefix_viterbi,
+    "op8_weak_labels": op8_weak_labels,
     "op9_signature_inverted_join": op9_signature_inverted_join,
 }
 
