@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmerge.llm import lattice
 from driftmerge.llm.decontaminate import decontaminate
 from driftmerge.llm.media import media_digest
 from driftmerge.llm.near_dedup import near_duplicates
@@ -48,6 +49,13 @@ def op5_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    found = lattice.scored(docs, lattice.learn(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they give the text back."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -115,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_consistent_hash_ring": op3_consistent_hash_ring,
     "op4_lossless_webp": op4_lossless_webp,
     "op5_compression_distance": op5_compression_distance,
+    "op6_subword_lattice": op6_subword_lattice,
     "op7_shared_prefix_viterbi": op7_shared_prefix_viterbi,
     "op8_weak_labels": op8_weak_labels,
     "op9_signature_inverted_join": op9_signature_inverted_join,
