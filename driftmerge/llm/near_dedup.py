@@ -158,22 +158,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Second: the hub of each value with all members that aren't joined with it yet; third: those left with all other members.
     for left_only in (False, True):
-        rooted = prefix.join(components(links), F.col("kind") == F.col("node"), "left").select("kind", "weight", "values", F.coalesce("root", "kind").alias("root"))
-        rooted = rooted.select("kind", "weight", "root", "values", F.explode("values").alias("at"))
+        roots = prefix.join(components(links), F.col("kind") == F.col("node"), "left").select("kind", "weight", F.coalesce("root", "kind").alias("root"))
+        rooted = posts.drop("weight").join(roots, "kind")
         hubs = rooted.groupBy("at").agg(F.max(F.struct("weight", "kind", "root")).alias("hub"), (F.min("root") != F.max("root")).alias("open")).where("open").select("at", "hub")
-        rooted = stage(rooted.join(hubs, "at"))
-        apart = rooted.where("root != hub.root")
+        rooted = rooted.join(hubs, "at")
         if left_only:
-            shared = stage(_sharing(rooted.select("kind").distinct(), texts).join(members.select("kind", "n_shingles"), "kind"))
-            rooted, apart = (x.join(shared, "kind") for x in (rooted, apart.where("root != hub.root")))
+            rooted = stage(rooted.select("at", "kind", "root", (F.col("root") != F.col("hub.root")).alias("apart")))
+            shared = _sharing(rooted.select("kind").distinct(), texts).join(members.select("kind", "n_shingles"), "kind")
+            # What a class can have in common with any other is bound by what it shares at all.
+            able = stage(shared.where(100 * F.col("shared") >= PERCENT * F.col("n_shingles")).join(prefix.select("kind", "values"), "kind"))
+            rooted = rooted.join(able, "kind")
             # A pair is made under the least value that both have posted, and nowhere else.
-            mine, other = (x.select("at", *(F.col(c).alias(f"{c}_{n}") for c in ("kind", "root", "values", "shared", "n_shingles"))) for x, n in ((apart, 1), (rooted, 2)))
+            mine, other = (x.select("at", *(F.col(c).alias(f"{c}_{n}") for c in ("kind", "root", "values", "shared", "n_shingles"))) for x, n in ((rooted.where("apart"), 1), (rooted, 2)))
             common = F.least("shared_1", "shared_2")
             close = 100 * common >= PERCENT * (F.col("n_shingles_1") + F.col("n_shingles_2") - common)
             meet = F.array_min(F.array_intersect("values_1", "values_2"))
             pairs = mine.join(other, (mine["at"] == other["at"]) & (F.col("root_1") != F.col("root_2")) & close & (meet == mine["at"])).select(F.greatest("kind_1", "kind_2").alias("u"), F.least("kind_1", "kind_2").alias("v"))
         else:
-            pairs = apart.select(F.greatest("hub.kind", "kind").alias("u"), F.least("hub.kind", "kind").alias("v"))
+            pairs = rooted.where("root != hub.root").select(F.greatest("hub.kind", "kind").alias("u"), F.least("hub.kind", "kind").alias("v"))
         fresh = stage(_agreeing(pairs.distinct().join(tested, ["u", "v"], "left_anti"), members).select("u", "v"))
         tested = tested.unionByName(fresh)
         links = stage(links.unionByName(_confirmed(fresh, texts)))
