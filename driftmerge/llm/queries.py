@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmerge.llm import lattice
+from driftmerge.llm.chaining import fuzzy_repeats
 from driftmerge.llm.decontaminate import decontaminate
 from driftmerge.llm.media import media_digest
 from driftmerge.llm.near_dedup import near_duplicates
@@ -71,6 +72,11 @@ def op9_signature_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fuzzy_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_repeated", F.size("spans").cast("bigint").alias("n_spans"), "spans")
+
+
 OP9_SQL = r"""
 with recursive d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
@@ -127,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_shared_prefix_viterbi": op7_shared_prefix_viterbi,
     "op8_weak_labels": op8_weak_labels,
     "op9_signature_inverted_join": op9_signature_inverted_join,
+    "op10_collinear_chaining": op10_collinear_chaining,
 }
 
 ORACLE_SQL: dict[str, str] = {
