@@ -79,15 +79,18 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sharing(involved: DataFrame, texts: DataFrame) -> DataFrame:
-    """(kind, shared): how many shingles of each of the involved classes occur in others of them too.
+    """(kind, levels): how many shingles of each of the involved classes occur in 2 to 3, 4 to 7, 8 to 15 ... of them.
 
-    Two sets have no more in common than the lesser of their two numbers, which bounds their similarity. That is exact, and in
-    a large group of texts that are just too far apart it is what keeps them from being compared all with all.
+    Level by level two sets have no more in common than the lesser of their two numbers, which bounds their similarity. That is
+    exact, and in a large group of texts that are just too far apart it is what keeps them from being compared all with all:
+    what they have in common is frequent, and what is rare in the one is not in the other.
     """
     made = f"kind {dict(texts.dtypes)['kind']}, shingle long"
     posted = texts.join(involved, "kind", "left_semi").mapInArrow(_shingles, made)
-    often = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
-    return posted.join(often, "shingle").groupBy("kind").agg(F.count(F.lit(1)).alias("shared"))
+    often = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle", F.floor(F.log2("n")).cast("int").alias("level"))
+    found = posted.join(often, "shingle").groupBy("kind", "level").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    counts = found.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("m"))
+    return counts.select("kind", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("levels"))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +105,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _agreeing(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
     """pairs (u, v) with the number of coordinates of the long signature in which they agree, T at least; sets whose sizes rule the link out are gone."""
-    u, v = (kinds.select(F.col("kind").alias(x), F.col("sign").alias(f"sign_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "uv")
+    # A byte of each value is enough to compare by: values that differ agree in it once in 256 times, which only lets pairs pass.
+    u, v = (kinds.select(F.col("kind").alias(x), F.transform("sign", lambda s: (s.bitwiseAND(255) - 128).cast("tinyint")).alias(f"sign_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "uv")
     sizes = 100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v")
     agree = F.size(F.filter(F.zip_with("sign_u", "sign_v", lambda a, b: a == b), lambda x: x))
     return pairs.join(u, "u").join(v, "v").select(*pairs.columns, agree.alias("agree"), sizes.alias("_sizes")).where("_sizes").drop("_sizes").where(F.col("agree") >= LONG[1])
@@ -166,11 +170,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rooted = stage(rooted.select("at", "kind", "root", (F.col("root") != F.col("hub.root")).alias("apart")))
             shared = _sharing(rooted.select("kind").distinct(), texts).join(members.select("kind", "n_shingles"), "kind")
             # What a class can have in common with any other is bound by what it shares at all.
-            able = stage(shared.where(100 * F.col("shared") >= PERCENT * F.col("n_shingles")).join(prefix.select("kind", "values"), "kind"))
+            able = stage(shared.where(100 * F.aggregate("levels", F.lit(0), lambda t, x: t + x) >= PERCENT * F.col("n_shingles")).join(prefix.select("kind", "values"), "kind"))
             rooted = rooted.join(able, "kind")
             # A pair is made under the least value that both have posted, and nowhere else.
-            mine, other = (x.select("at", *(F.col(c).alias(f"{c}_{n}") for c in ("kind", "root", "values", "shared", "n_shingles"))) for x, n in ((rooted.where("apart"), 1), (rooted, 2)))
-            common = F.least("shared_1", "shared_2")
+            mine, other = (x.select("at", *(F.col(c).alias(f"{c}_{n}") for c in ("kind", "root", "values", "levels", "n_shingles"))) for x, n in ((rooted.where("apart"), 1), (rooted, 2)))
+            common = F.aggregate(F.zip_with("levels_1", "levels_2", lambda a, b: F.least(a, b)), F.lit(0), lambda t, x: t + x)
             close = 100 * common >= PERCENT * (F.col("n_shingles_1") + F.col("n_shingles_2") - common)
             meet = F.array_min(F.array_intersect("values_1", "values_2"))
             pairs = mine.join(other, (mine["at"] == other["at"]) & (F.col("root_1") != F.col("root_2")) & close & (meet == mine["at"])).select(F.greatest("kind_1", "kind_2").alias("u"), F.least("kind_1", "kind_2").alias("v"))
