@@ -165,12 +165,12 @@ def _expect(pieces: Pieces):
 
 @dataclass
 class Model:
-    """pieces, counts of words (a table: word, c), the frequent words' hashes and counts, and totals of the training tokens."""
+    """pieces, counts of words (a table: word, c), the frequent words' hashes, counts and lattice scores, and totals of the training tokens."""
 
     pieces: Pieces
     counts: DataFrame
     least: int
-    head: tuple[np.ndarray, np.ndarray]
+    head: tuple[np.ndarray, np.ndarray, np.ndarray]
     texts: int
     tokens: int
     distinct: int
@@ -202,11 +202,13 @@ def learn(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> Mo
             uses[r.piece] = r.uses
         if uses.sum() > 0:
             pieces = pieces.weighted(uses)
-    head = hashes[order], np.array([c for _, c in found], np.int64)[order]
+    data, starts = np.frombuffer(b"".join(w for w, _ in found), np.uint8), ends - np.array([len(w) for w, _ in found], np.int64)
+    logs = [Lattice(pieces, *marked(data, starts[i : i + 20_000], ends[i : i + 20_000])).forward() for i in range(0, len(found), 20_000)]
+    head = hashes[order], np.array([c for _, c in found], np.int64)[order], np.concatenate([np.zeros(0), *logs])[order]
     return Model(pieces, counts, least, head, texts, tokens, distinct, 1 - (once + 1) / (tokens + 1))
 
 
-def _score(pieces: Pieces, head: tuple[np.ndarray, np.ndarray], texts: int, tokens: int, distinct: int, share: float):
+def _score(pieces: Pieces, head: tuple[np.ndarray, np.ndarray, np.ndarray], texts: int, tokens: int, distinct: int, share: float):
     log_base = math.log10(tokens + distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,13 +219,15 @@ def _score(pieces: Pieces, head: tuple[np.ndarray, np.ndarray], texts: int, toke
                 part = data[offsets[i] : offsets[j]]
                 starts, ends, first = words(part, offsets[i : j + 1] - offsets[i], SPACED_WORDS)
                 _, one, which = np.unique(Rolling(part).ranges(starts, ends), return_index=True, return_inverse=True)
-                data_, at, to = marked(part, starts[one], ends[one])
-                lattice = Lattice(pieces, data_, at, to).forward()
                 # The end is a token like others, seen once in each training text; it is no word's lattice.
                 ended = math.log10((texts + 1) / (tokens + 1))
                 hashes = Rolling(part).ranges(starts[one], ends[one])
                 found = np.minimum(np.searchsorted(head[0], hashes), max(0, len(head[0]) - 1)) if len(head[0]) else np.zeros(len(one), np.int64)
                 count = np.where(head[0][found] == hashes, head[1][found], 0) if len(head[0]) else np.zeros(len(one), np.int64)
+                # Frequent words have their scores with them.
+                new = np.flatnonzero(count == 0)
+                lattice = head[2][found].copy() if len(head[0]) else np.zeros(len(one))
+                lattice[new] = Lattice(pieces, *marked(part, starts[one[new]], ends[one[new]])).forward()
                 score = np.logaddexp(math.log(1 - share) + lattice, np.log(np.maximum(share * count / max(tokens, 1), 1e-300))) / math.log(10)
                 base = np.log10(count + 1) - log_base
                 known = count > 0
