@@ -59,8 +59,8 @@ def votes_and_shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     again = np.zeros(len(starts), bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])
-    pairs = np.unique(np.stack([text.astype(np.uint64), hashes], 1), axis=0) if len(text) else np.zeros((0, 2), np.uint64)
-    distinct = np.bincount(pairs[:, 0].astype(np.int64), minlength=len(offsets) - 1)
+    _, one = np.unique(mix(hashes ^ mix(text.astype(np.uint64))), return_index=True)
+    distinct = np.bincount(text[one], minlength=len(offsets) - 1)
     letters = np.maximum(_per_text(_LETTER[data], offsets), 1)
     last = data[ends - 1] if len(ends) else data[:0]
     doubled = (last == 33) & (data[np.maximum(ends - 2, 0)] == 33) if len(ends) else again
