@@ -303,6 +303,21 @@ def test_fuzzy_repeats(docs, empty):
     assert chaining.fuzzy_repeats(empty).count() == 0
 
 
+def repeats(spark, texts):
+    """Words of each text that are in spans."""
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    return {r.doc_id: {k for s in r.spans for k in range(s.start, s.end)} for r in chaining.fuzzy_repeats(table).collect()}
+
+
+def test_fuzzy_repeats_beyond_the_hub(spark):
+    rng = random.Random(21)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = text(60)
+    a, b = text(90) + shared + text(90), text(120) + shared + text(70)
+    got = repeats(spark, [" ".join(t) for t in (a, b, text(8) + shared[:40] + text(7), text(9) + shared[20:] + text(6))])
+    assert set(range(90, 150)) <= got[0] and set(range(120, 180)) <= got[1] and not got[2] and not got[3]
+
+
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_query_gives_the_rows_of_its_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, SF), queries.ORACLE_SQL[name])
