@@ -318,6 +318,20 @@ def test_fuzzy_repeats_beyond_the_hub(spark):
     assert set(range(90, 150)) <= got[0] and set(range(120, 180)) <= got[1] and not got[2] and not got[3]
 
 
+@pytest.mark.parametrize(("every", "least"), [(5, 0.7), (8, 0.9), (10, 0.9)])
+def test_fuzzy_repeats_recall(spark, every, least):
+    rng = random.Random(every)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(100):
+        shared = text(60)
+        rows += [text(40) + shared + text(40), text(50) + [f"v{rng.randrange(10**6)}" if i % every == every - 1 else w for i, w in enumerate(shared)] + text(50)]
+    got = repeats(spark, [" ".join(t) for t in rows])
+    found = sum(len(got[2 * i]) >= 50 and len(got[2 * i + 1]) >= 50 for i in range(100))
+    print(f"every {every}th word changed: {found} of 100 found")
+    assert found >= 100 * least
+
+
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_query_gives_the_rows_of_its_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, SF), queries.ORACLE_SQL[name])
