@@ -318,6 +318,14 @@ def test_fuzzy_repeats_beyond_the_hub(spark):
     assert set(range(90, 150)) <= got[0] and set(range(120, 180)) <= got[1] and not got[2] and not got[3]
 
 
+def test_fuzzy_repeats_twice_in_the_shortest_text(spark):
+    rng = random.Random(22)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = text(60)
+    got = repeats(spark, [" ".join(t) for t in (shared + text(20) + shared, text(200) + shared + text(90), text(90) + shared + text(300))])
+    assert {*range(60), *range(80, 140)} <= got[0] and set(range(200, 260)) <= got[1] and set(range(90, 150)) <= got[2]
+
+
 @pytest.mark.parametrize(("every", "least"), [(5, 0.7), (8, 0.9), (10, 0.9)])
 def test_fuzzy_repeats_recall(spark, every, least):
     rng = random.Random(every)
