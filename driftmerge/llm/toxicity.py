@@ -173,7 +173,8 @@ def fit(texts: list[tuple[bytes, int]]) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most SAMPLE labelled texts of each label, those whose ids have the least hashes; the sample is all that leaves Spark.
 
-    Texts without a label, and labels without a text, don't count; of equal texts one does.
+    Texts without a label, and labels without a text, don't count; of equal texts one does. Where SAMPLE cuts one label more than
+    the other, the model's constant is corrected from the sample's odds to those of all labels.
     """
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) != 0).cast("int").alias("_label"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
@@ -185,7 +186,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = rows.join(F.broadcast(chosen), "_id").groupBy(F.md5("_text").alias("_key")).agg(F.first("_text").alias("_text"), F.max("_label").alias("_label"))
     table = bytes(LOWER.tolist())
     sample = [(r._text.encode().translate(table), r._label) for r in found.orderBy("_key").collect()]  # SAMPLE texts at most
-    return fit(sample)
+    model = fit(sample)
+    if len({y for _, y in sample}) == 2:
+        size = {r._label: r["count"] for r in known.groupBy("_label").count().collect()}
+        drawn = [min(size[y], SAMPLE[1 - y]) for y in (0, 1)]
+        model.weights[-1] += math.log(size[1] / size[0]) - math.log(drawn[1] / drawn[0])
+    return model
 
 
 def _score(model: Model):

@@ -186,6 +186,17 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(empty, toxicity.learn(empty.select("doc_id", "text"), table.select("doc_id", "toxic"))).count() == 0
 
 
+def test_toxicity_keeps_the_share_of_labels(spark, monkeypatch):
+    rng = random.Random(9)
+    say = lambda odd: " ".join(rng.choice(["plain", "words", "here", "and", "there", "nothing", "else"]) for _ in range(40)) + (" maybeterm" if odd else "")
+    rows = [(i, say(i % 10 == 0 or i % 4 == 1), int(i % 10 == 0)) for i in range(800)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", (80, 160))
+    found = toxicity.toxicity(table, toxicity.learn(table.drop("toxic"), table.select("doc_id", "toxic"))).collect()
+    assert not any(r.predicted for r in found)  # three of ten texts with the word are toxic
+    assert sum(r.score for r in found) / len(found) == pytest.approx(0.1, abs=0.04)
+
+
 def test_lattice(spark, docs, empty):
     model = lattice.learn(docs.where("doc_id % 2 = 0"))
     train = Counter(w for r in docs.where("doc_id % 2 = 0").collect() for w in [*words(r.text), None])
