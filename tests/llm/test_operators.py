@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,18 @@ def test_webp_streams():
         assert np.array_equal(webp.decode(made), pixels), how
         with pytest.raises(webp.WebPError):
             webp.decode(made[: len(made) // 2])
+    # Together, as one by one: with references, palettes, groups of long and short pictures, and cache indexes.
+    many = []
+    for n in range(90):
+        text = rng.choice(np.frombuffer(b"aaeiou rstn,.", np.uint8), (int(rng.integers(1, 9)) if n else 90, 64, 3))
+        pixels = np.full((*text.shape[:2], 4), 255, np.uint8)
+        pixels[..., :3] = text
+        if n % 4 == 0:
+            pixels[len(pixels) // 2 :] = 32
+        many.append(webp.encode(pixels, palette=n % 3 > 0, cache_bits=5 * (n % 7 == 0)))
+    assert all(np.array_equal(a, webp.decode(m)) for a, m in zip(webp.decode_all(many), many, strict=True))
+    with pytest.raises(webp.WebPError):
+        webp.decode_all([*many, many[0][: len(many[0]) // 2]])
     for broken in (b"", b"RIFF\4\0\0\0WEBP", b"x" * 40):
         with pytest.raises(webp.WebPError):
             webp.decode(broken)
@@ -246,19 +259,45 @@ def test_lattice_sums_over_all_segmentations():
         assert uses[order[int(h)]] == pytest.approx(expected[piece], abs=1e-9)
 
 
-def test_pieces(docs, empty):
+def test_pieces(spark, docs, empty, monkeypatch):
     vocabulary = pieces.Vocabulary.load()
+    unit = re.compile(f"{pieces.MARK}*[^{pieces.MARK}]+|{pieces.MARK}+")
+    split = lambda t: unit.findall(pieces.MARK + t.replace(" ", pieces.MARK)) if t else []
 
-    def best(word: str) -> float:
-        score = [0.0] + [-math.inf] * len(word)
+    def best(word: str) -> tuple[float, list[int]]:
+        """Score and ids; of equal scores the longest last piece."""
+        found = [(0.0, [])]
         for e in range(1, len(word) + 1):
-            score[e] = max([score[e - 1] + vocabulary.unknown] + [score[b] + vocabulary.pieces[word[b:e]][1] for b in range(e) if word[b:e] in vocabulary.pieces])
-        return score[-1]
-
+            score, ids = found[e - 1]
+            top = score + vocabulary.unknown, ids + [vocabulary.bytes[x] for x in word[e - 1].encode()]
+            for b in range(e - 1, -1, -1):
+                if word[b:e] in vocabulary.pieces:
+                    i, s = vocabulary.pieces[word[b:e]]
+                    if found[b][0] + s >= top[0]:
+                        top = found[b][0] + s, found[b][1] + [i]
+            found.append(top)
+        return found[-1]
+
+    for limit, size in ((pieces.REMEMBERED, 1 << 20), (1000, 64)):  # also with little memory and ids a few at a time
+        monkeypatch.setattr(pieces, "REMEMBERED", limit)
+        monkeypatch.setattr(pieces, "_IDS", size)
+        held = type("Held", (), {"value": vocabulary})
+        texts = [r.text for r in docs.collect()] + ["a b", "\u2581x \u2581\u2581", " lead and trail ", "x" * 5000 + " " * 300]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["_row", "_text"])
+        encoded = [b for part in (batch, batch.slice(3)) for b in pieces._encode(held)(iter([part]))]
+        rows = [r for b in encoded for r in b.to_pylist()]
+        assert [r["_text"] for r in rows] == texts + texts[3:]
+        for r in rows:
+            parts = [best(w) for w in split(r["_text"] or "")]
+            assert r["ids"] == [i for _, ids in parts for i in ids] and r["piece_score"] == pytest.approx(sum(s for s, _ in parts))
+        lists = [pa.RecordBatch.from_arrays([b.column("_row"), b.column("ids")], ["_row", "_text"]) for b in encoded]
+        back = [t for b in pieces._decode(held)(iter(lists)) for t in b.column("decoded").to_pylist()]
+        assert back == [(t or "").replace(pieces.MARK, " ").removeprefix(" ") if pieces.MARK in (t or "") and t.startswith(pieces.MARK + " ") else (t or "").replace(pieces.MARK, " ") for t in texts + texts[3:]]
     for r in pieces.decode(pieces.encode(docs)).collect():
         assert r.decoded == (r.text or "")
-        assert r.piece_score == pytest.approx(sum(best(w) for w in pieces.marked_words(r.text or "")))
     assert pieces.encode(empty).count() == 0
+    odd = spark.createDataFrame([(1, [vocabulary.bytes[255]]), (2, None), (3, [])], "doc_id int, ids array<int>")
+    assert {r.doc_id: r.decoded for r in pieces.decode(odd).collect()} == {1: "\ufffd", 2: None, 3: ""}
     words = ["▁the", "▁then", "▁they", "▁the", "▁▁▁", "\U000e0001", "▁x\ny"]
     together = {w: (i, s) for w, i, s in pieces.segment(set(words), vocabulary)}
     assert all(next(pieces.segment([w], vocabulary))[1:] == together[w] for w in set(words))  # shared prefixes change nothing
