@@ -1,16 +1,15 @@
-"""Helpers that the text operators share: Arrow text buffers, rolling hashes, word hashes, staging."""
+"""Helpers that the text operators share: Arrow text buffers, rolling hashes, word hashes, joins with hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmerge.functions.staging import stage  # noqa: F401
+
 CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -22,21 +21,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        where = f"file://{tempfile.gettempdir()}/driftmerge-{spark.sparkContext.applicationId}"
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+#: Keys that are joined by broadcast, at most: those that have 1 / HOT of all rows or more.
+HOT = 1000
+
 
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the facts of their keys (inner join). facts has one row for each key, and in ``n`` how many rows have the key.
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Keys with many rows would each make one task's work, so their facts go to all rows instead: no more than HOT rows of facts,
+    however large the tables. facts should be a written table, as it is read several times.
+    """
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT >= total
+    often, rest = F.broadcast(facts.where(hot)), facts.where(~hot)
+    few = rows.join(F.broadcast(facts.where(hot).select(keys)), keys, "left_anti")
+    return rows.join(often, keys).unionByName(few.join(rest, keys))
 
 
 def packed(docs: DataFrame, text_col: str) -> DataFrame:

@@ -11,8 +11,8 @@ A repeat of ``min_len`` bytes or more is found where both copies hold it in full
    min_len or more whose left neighbours differ is a maximal repeat, reported for all its occurrences.
 4. A bucket of more than ``bucket_limit`` kinds is not gathered: its windows are counted by hash, with partial sums.
 
-Every key is spread by hash; groups are only gathered below the limit. Equality of contexts is by 64-bit hashes within one
-k-gram's bucket.
+Every key is spread by hash; k-grams and kinds that very many texts have are joined by broadcast, at most HOT of them, and groups
+are only gathered below the limit. Equality of contexts is by 64-bit hashes within one k-gram's bucket.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmerge.llm.common import Rolling, buffers, chunks, mix, packed, sliding_min, stage, unpacked
+from driftmerge.llm.common import Rolling, buffers, chunks, join_hot, mix, packed, sliding_min, stage, unpacked
 
 MIN_LEN = 400
 BUCKET_LIMIT = 512
@@ -71,10 +71,16 @@ def _find_anchors(min_len: int):
                 if found is None:
                     continue
                 row, a, first, last, gram, kind = found
-                base = (offsets[i : j + 1] - offsets[i])[row]
+                order = np.lexsort((a, kind, gram, row))  # a text's anchors of one kind are one row
+                row, a, first, last, gram, kind = (x[order] for x in (row, a, first, last, gram, kind))
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1]) | (kind[1:] != kind[:-1])
+                heads = np.flatnonzero(new)
+                places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(row)).astype(np.int32)), pa.array((a - offsets[row + i] + offsets[i]).astype(np.int32)))
+                before, after = (a - first)[heads].astype(np.int32), (last - a)[heads].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), pa.array(kind.view(np.int64)), batch.column("_key").take(pa.array(row + i)), pa.array((a - base).astype(np.int32)), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))],
-                    ["gram", "kind", "key", "a", "first", "last"],
+                    [pa.array(gram[heads].view(np.int64)), pa.array(kind[heads].view(np.int64)), batch.column("_key").take(pa.array(row[heads] + i)), pa.array(before), pa.array(after), places],
+                    ["gram", "kind", "key", "before", "after", "places"],
                 )
 
     return run
@@ -227,31 +233,36 @@ def repeat_spans(texts: DataFrame, min_len: int = MIN_LEN, bucket_limit: int = B
 
     One row for equal texts (they have one key). Ranges may overlap.
     """
-    anchors = stage(texts.mapInArrow(_find_anchors(min_len), "gram long, kind long, key binary, a int, first int, last int"))
-    grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("kind") != F.max("kind")).alias("mixed")).where("n > 1").select("gram", "mixed")
-    repeated = stage(anchors.join(grams, "gram").groupBy("gram", "kind", "key", "a", "first", "last", "mixed").agg(F.count(F.lit(1)).alias("n")))
-    whole = repeated.where("not mixed").select("key", F.col("first").alias("from"), (F.col("last") + min_len).alias("to"))
+    anchors = stage(texts.mapInArrow(_find_anchors(min_len), "gram long, kind long, key binary, before int, after int, places array<int>"))
+    size = F.size("places")
+    grams = stage(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("places"), (F.min("kind") != F.max("kind")).alias("mixed")).where("places > 1").select("gram", "n", "mixed"))
+    repeated = join_hot(anchors, grams, ["gram"]).groupBy("gram", "kind", "key", "mixed")
+    repeated = stage(repeated.agg(F.first("before").alias("before"), F.first("after").alias("after"), F.first("places").alias("places"), F.count(F.lit(1)).alias("copies")))
+    place = F.explode("places").alias("a")
+    whole = repeated.where("not mixed").select("key", "before", "after", place).select("key", (F.col("a") - F.col("before")).alias("from"), (F.col("a") + F.col("after") + min_len).alias("to"))
 
     mixed = repeated.where("mixed")
-    kinds = mixed.groupBy("gram", "kind").agg(F.sum("n").alias("n"), F.min(F.struct("key", "a", "first", "last")).alias("one"))
-    wanted = kinds.select("one.key", F.struct("gram", "kind", "one.a", "one.first", "one.last").alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted"))
+    one = F.min(F.struct("key", F.get("places", F.lit(0)).alias("a"), "before", "after"))
+    kinds = stage(mixed.groupBy("gram", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(size * F.col("copies")).alias("of_kind"), one.alias("one")))
+    wanted = F.struct("gram", "kind", "one.a", (F.col("one.a") - F.col("one.before")).alias("first"), (F.col("one.a") + F.col("one.after")).alias("last"))
+    wanted = kinds.select("one.key", wanted.alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted"))
     contexts = texts.join(wanted, F.col("_key") == F.col("key")).select("_text", "wanted").mapInArrow(_cut_contexts(min_len), "gram long, kind long, rel int, left int, context binary")
     contexts = stage(contexts.groupBy("gram", "kind").agg(F.first("rel").alias("rel"), F.first("left").alias("left"), F.first("context").alias("context")))
-    crowd = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("crowd"))
-    contexts = contexts.join(crowd, "gram")
+    crowd = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    contexts = join_hot(contexts, stage(crowd), ["gram"])
     columns = ["gram", "kind", "rel", "left", "context"]
-    small = contexts.where(F.col("crowd") <= bucket_limit).select(columns)
+    small = contexts.where(F.col("n") <= bucket_limit).select(columns)
     scanned = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_scan_buckets(min_len), "gram long, kind long, from int, to int")
-    windows = contexts.where(F.col("crowd") > bucket_limit).select(columns).mapInArrow(_hash_windows(min_len), "gram long, kind long, at int, window long")
-    shared = windows.groupBy("gram", "at", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "at", "window")
-    counted = windows.join(shared, ["gram", "at", "window"]).select("gram", "kind", F.col("at").alias("from"), (F.col("at") + min_len).alias("to"))
+    windows = stage(contexts.where(F.col("n") > bucket_limit).select(columns).mapInArrow(_hash_windows(min_len), "gram long, kind long, at int, window long"))
+    again = stage(windows.groupBy("gram", "at", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    counted = join_hot(windows, again, ["gram", "at", "window"]).select("gram", "kind", F.col("at").alias("from"), (F.col("at") + min_len).alias("to"))
     ends = scanned.unionByName(counted).groupBy("gram", "kind").agg(F.collect_list(F.struct("from", "to")).alias("ends"))
 
-    # A kind that several anchors have repeats in full; of the others, what the scan has found.
-    many = mixed.join(kinds.select("gram", "kind", F.col("n").alias("of_kind")), ["gram", "kind"]).join(ends, ["gram", "kind"], "left")
-    part = many.select("key", "a", F.when(F.col("of_kind") > 1, F.array(F.struct((F.col("first") - F.col("a")).alias("from"), (F.col("last") - F.col("a") + min_len).alias("to")))).otherwise(F.col("ends")).alias("ends"))
-    part = part.select("key", "a", F.explode("ends").alias("s")).select("key", (F.col("s.from") + F.col("a")).alias("from"), (F.col("s.to") + F.col("a")).alias("to"))
-    return whole.unionByName(part)
+    # Of each kind what repeats, from its anchor on: all of it if several anchors have it, else what the scan has found.
+    all_of_it = F.array(F.struct((-F.col("one.before")).alias("from"), (F.col("one.after") + min_len).alias("to")))
+    decided = kinds.join(ends, ["gram", "kind"], "left").select("gram", "kind", "n", F.when(F.col("of_kind") > 1, all_of_it).otherwise(F.col("ends")).alias("ends")).where("ends is not null")
+    part = join_hot(mixed, stage(decided), ["gram", "kind"]).select("key", "ends", place).select("key", "a", F.explode("ends").alias("s"))
+    return whole.unionByName(part.select("key", (F.col("s.from") + F.col("a")).alias("from"), (F.col("s.to") + F.col("a")).alias("to")))
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", min_len: int = MIN_LEN, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
