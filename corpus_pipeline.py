@@ -16,6 +16,8 @@ from driftmerge.llm.pieces import encode
 from driftmerge.llm.quality import judged
 from driftmerge.llm.suffix_dedup import remove_repeats
 
+#: A passage of over 50 words has so many bytes at least: 50 words of four letters with a space each.
+PASSAGE_BYTES = 250
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -31,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur elsewhere too; a character that a cut went through becomes U+FFFD."""
-    rest = remove_repeats(docs).withColumn("text", F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("text")))
+    """Texts without the passages of PASSAGE_BYTES or more that occur elsewhere too; a character that a cut went through becomes U+FFFD."""
+    rest = remove_repeats(docs, min_len=PASSAGE_BYTES).withColumn("text", F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("text")))
     return rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
