@@ -368,6 +368,28 @@ def test_fuzzy_repeats_beyond_the_hub(spark):
     assert set(range(90, 150)) <= got[0] and set(range(120, 180)) <= got[1] and not got[2] and not got[3]
 
 
+def test_fuzzy_repeats_in_families(spark):
+    """Two long texts share a passage that shorter, or longer, texts quote parts of."""
+    rng = random.Random(31)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, expected, families = [], [], 60
+    for i in range(families):
+        shared, outer = text(80), (12, 400)[i % 2]
+        for _ in range(2):
+            begin = rng.randint(60, 120)
+            expected.append((len(rows), begin))
+            rows.append(text(begin) + shared + text(90))
+        for k in range(4):
+            at = rng.randint(0, 56)
+            rows.append(text(outer + k) + shared[at : at + 24] + text(outer))
+    got = repeats(spark, [" ".join(t) for t in rows])
+    recall = sum(len(got[i] & set(range(b, b + 80))) for i, b in expected) / (80 * len(expected))
+    print(f"recall of words {recall:.3f}")
+    assert recall == 1
+    wrong = sum(len(got[i]) for i in range(len(rows))) - 80 * len(expected)
+    assert wrong < 0.1 * 80 * len(expected)
+
+
 def test_fuzzy_repeats_twice_in_the_shortest_text(spark):
     rng = random.Random(22)
     text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
