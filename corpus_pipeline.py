@@ -1,7 +1,10 @@
 """From raw documents to token ids: five stages, each over all that the one before has kept.
 
 Each stage's rows are written as Parquet and read again, so a stage's work is never done twice and a lost executor costs one
-stage's tasks. All stages but the last return the columns of documents.
+stage's tasks. All stages but the last return the columns of documents, and no others.
+
+In every stage null and empty texts are kept as they are: they have no words, no passages and no tokens. Rows that repeat as a
+whole are kept or removed together, ties go by doc_id, a very long text is one row's work, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from driftmerge.llm.common import stage
 from driftmerge.llm.decontaminate import decontaminate
 from driftmerge.llm.near_dedup import near_duplicates
-from driftmerge.llm.pieces import encode
+from driftmerge.llm.pieces import decode, encode
 from driftmerge.llm.quality import judged
 from driftmerge.llm.suffix_dedup import remove_repeats
 
@@ -22,7 +25,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the scorer doesn't reject."""
+    """Documents that the scorer doesn't reject; texts without words are kept, as labellers have nothing to judge."""
     return judged(docs).where("kept").select(*COLUMNS)
 
 
@@ -39,15 +42,16 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark items don't contaminate."""
+    """Documents that benchmark items don't contaminate; a null or empty text is clean."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, items).where("not contaminated").select(*COLUMNS)
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left."""
-    found = encode(docs.select("doc_id", "text"))
-    return found.select("doc_id", "text", F.size("ids").cast("bigint").alias("n_tokens"), "piece_score", "ids")
+    """Token ids of what is left, and whether they give the text back."""
+    found = decode(encode(docs.select("doc_id", "text")))
+    restored = F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("restored")
+    return found.select("doc_id", "text", F.size("ids").cast("bigint").alias("n_tokens"), "piece_score", "ids", restored)
 
 
 STAGES = [
@@ -55,7 +59,7 @@ STAGES = [
     ("MinHash near-dedup", near_dedup),
     ("suffix-array dedup", suffix_dedup),
     ("benchmark decontamination", benchmark_decontamination),
-    ("SentencePiece encoding", piece_encoding),
+    ("SentencePiece encoding and decoding", piece_encoding),
 ]
 
 #: SQL can express neither the learnt scorer nor byte-wise removal; the stages are tested against brute force.
