@@ -210,10 +210,10 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffers(batch.column("_text"))
         kept, removed, runs = [], [], []
-        for i, spans in enumerate(batch.column("spans").to_pylist()):
+        for i, found in enumerate(batch.column("found").to_pylist()):
             text = data[offsets[i] : offsets[i + 1]].tobytes()
             merged: list[list[int]] = []
-            for s in sorted((s["from"], s["to"]) for s in spans or ()):
+            for s in sorted({(a + e["from"], a + e["to"]) for f in found or () for a in f["places"] for e in f["ends"]}):
                 if merged and s[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
@@ -229,17 +229,18 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeat_spans(texts: DataFrame, min_len: int = MIN_LEN, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """(key, from, to): byte ranges of each text that windows of min_len bytes starting elsewhere too cover; texts has _key and _text.
+    """(key, places, ends): byte ranges of each text that windows of min_len bytes starting elsewhere too cover; texts has _key and _text.
 
-    One row for equal texts (they have one key). Ranges may overlap.
+    From each place on, the ranges are those of ends (from, to; they may begin before the place). One set of rows for equal texts
+    (they have one key). Ranges may overlap.
     """
     anchors = stage(texts.mapInArrow(_find_anchors(min_len), "gram long, kind long, key binary, before int, after int, places array<int>"))
     size = F.size("places")
     grams = stage(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("places"), (F.min("kind") != F.max("kind")).alias("mixed")).where("places > 1").select("gram", "n", "mixed"))
     repeated = join_hot(anchors, grams, ["gram"]).groupBy("gram", "kind", "key", "mixed")
     repeated = stage(repeated.agg(F.first("before").alias("before"), F.first("after").alias("after"), F.first("places").alias("places"), F.count(F.lit(1)).alias("copies")))
-    place = F.explode("places").alias("a")
-    whole = repeated.where("not mixed").select("key", "before", "after", place).select("key", (F.col("a") - F.col("before")).alias("from"), (F.col("a") + F.col("after") + min_len).alias("to"))
+    all_of = lambda before, after: F.array(F.struct((-F.col(before)).alias("from"), (F.col(after) + min_len).alias("to")))
+    whole = repeated.where("not mixed").select("key", "places", all_of("before", "after").alias("ends"))
 
     mixed = repeated.where("mixed")
     one = F.min(F.struct("key", F.get("places", F.lit(0)).alias("a"), "before", "after"))
@@ -259,10 +260,8 @@ def repeat_spans(texts: DataFrame, min_len: int = MIN_LEN, bucket_limit: int = B
     ends = scanned.unionByName(counted).groupBy("gram", "kind").agg(F.collect_list(F.struct("from", "to")).alias("ends"))
 
     # Of each kind what repeats, from its anchor on: all of it if several anchors have it, else what the scan has found.
-    all_of_it = F.array(F.struct((-F.col("one.before")).alias("from"), (F.col("one.after") + min_len).alias("to")))
-    decided = kinds.join(ends, ["gram", "kind"], "left").select("gram", "kind", "n", F.when(F.col("of_kind") > 1, all_of_it).otherwise(F.col("ends")).alias("ends")).where("ends is not null")
-    part = join_hot(mixed, stage(decided), ["gram", "kind"]).select("key", "ends", place).select("key", "a", F.explode("ends").alias("s"))
-    return whole.unionByName(part.select("key", (F.col("s.from") + F.col("a")).alias("from"), (F.col("s.to") + F.col("a")).alias("to")))
+    decided = kinds.join(ends, ["gram", "kind"], "left").select("gram", "kind", "n", F.when(F.col("of_kind") > 1, all_of("one.before", "one.after")).otherwise(F.col("ends")).alias("ends")).where("ends is not null")
+    return whole.unionByName(join_hot(mixed, stage(decided), ["gram", "kind"]).select("key", "places", "ends"))
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", min_len: int = MIN_LEN, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -275,8 +274,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", min_len: int = MIN_L
     made = {"n_bytes", "n_removed", "n_spans", "kept"}
     rows = packed(docs, text_col).withColumn("_key", F.unhex(F.md5(F.coalesce("_text", F.lit("")))))
     spans = repeat_spans(rows.select("_key", "_text"), min_len, bucket_limit)
-    spans = spans.groupBy("key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    joined = rows.join(spans, F.col("_key") == F.col("key"), "left").select("_row", "_text", "spans")
+    spans = spans.groupBy("key").agg(F.collect_list(F.struct("places", "ends")).alias("found"))
+    joined = rows.join(spans, F.col("_key") == F.col("key"), "left").select("_row", "_text", "found")
     schema = f"_row {joined.schema['_row'].dataType.simpleString()}, _text string, n_bytes long, n_removed long, n_spans long, kept binary"
     out = joined.mapInArrow(_drop, schema)
     return out.select(*unpacked(docs.columns, text_col, made), "n_bytes", "n_removed", "n_spans", "kept")
