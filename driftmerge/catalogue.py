@@ -16,8 +16,12 @@ from driftmerge.operators import alter, capture, merge, policy
 from driftmerge.operators import feed as feeds
 from driftmerge.plans import logs
 from driftmerge.plans.schema import SchemaHistory, fnv1a, normalised
-from driftmerge.plans.spec import Algo
+from driftmerge.plans.spec import Algo, SpecError, TableSpec
+from driftmerge.replica import Replica
 from driftmerge.sources import payload
+from driftmerge.sources.transport import FolderTransport
+from driftmerge.sql import install
+from driftmerge.streaming import sync
 from driftmerge.streaming.sync import StreamMerge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -342,9 +346,10 @@ def db_version_current(spark, sf_dir):
     return clock.db_version(logs.order_clocks(_orders(spark, sf_dir)), 3)
 
 
-@query(f"with {ORDER_CLOCKS} select o_orderkey, col_name, ((db_version << 30) | seq)::bigint as row_id, db_version::bigint as db_version, seq::bigint as seq from clocks where seq < 1073741824")
+@query(f"with {ORDER_CLOCKS} select o_orderkey, col_name, row_id, (row_id >> 30)::bigint as db_version, (row_id & 1073741823)::bigint as seq from (select *, case when seq < 1073741824 then ((db_version << 30) | seq)::bigint end as row_id from clocks)")
 def rowid_encode_decode(spark, sf_dir):
-    found = logs.order_clocks(_orders(spark, sf_dir)).where("seq < 1073741824").withColumn("row_id", clock.row_id(F.col("db_version"), F.col("seq")))
+    """Changes whose seq takes more than 30 bits have no row id."""
+    found = logs.order_clocks(_orders(spark, sf_dir)).withColumn("row_id", clock.row_id(F.col("db_version"), F.col("seq")))
     return found.select("o_orderkey", "col_name", "row_id", clock.row_id_version(F.col("row_id")).alias("db_version"), clock.row_id_seq(F.col("row_id")).alias("seq"))
 
 
@@ -542,3 +547,102 @@ def stream_merge_availablenow(spark, sf_dir):
     stream = StreamMerge(spark, logs.EVENT_KEY, EVENTS)
     stream.start(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(source)).awaitTermination()
     return _event_rows(stream.state())
+
+
+# Replicas.
+
+ORDER_SPEC = TableSpec("orders", T.StructType([T.StructField("o_orderkey", T.LongType(), False), *(T.StructField(c, k) for c, k in logs.ORDER_COLUMNS.items())]), ("o_orderkey",))
+ORDER_LIST = "o_orderstatus, o_totalprice, o_orderpriority"
+THEIRS = "select o_orderkey, o_orderstatus, case when o_orderkey % 5 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice, o_orderpriority from orders where o_orderkey % 3 <> 0"
+
+
+def _replica(spark: SparkSession, site: int, rows: DataFrame) -> Replica:
+    made = Replica(spark, fresh(spark, "replica"), bytes(15) + bytes([site]))
+    made.enable(ORDER_SPEC, rows, force=True)
+    return made
+
+
+@query(f"""{THEIRS} union all select o_orderkey, {ORDER_LIST} from orders where o_orderkey % 3 = 0 and o_orderkey % 11 <> 0
+  union all select o_orderkey + 1000000000, {ORDER_LIST} from orders where o_orderkey % 7 = 0 union all select o_orderkey + 2000000000, {ORDER_LIST} from orders where o_orderkey % 13 = 0""")
+def apply_keeps_uncaptured(spark, sf_dir):
+    """Rows that are deleted and added while capture is off stay so, but where a change of the other replica wins in them."""
+    orders, k = _orders(spark, sf_dir), F.col("o_orderkey")
+    before = logs.orders_before(orders)
+    a, b = _replica(spark, 1, before), _replica(spark, 2, logs.orders_after(orders))
+    a.set_enabled("orders", False)
+    a.write("orders", before.where(k % 11 != 0).unionByName(before.where(k % 13 == 0).withColumn("o_orderkey", k + 2_000_000_000)))
+    a.apply(b.changes())
+    return a.table("orders")
+
+
+@query(f"""{THEIRS} union all select o_orderkey, {ORDER_LIST} from orders where o_orderkey % 3 = 0 union all select o_orderkey + 1000000000, {ORDER_LIST} from orders where o_orderkey % 7 = 0""")
+def sync_two_replicas(spark, sf_dir):
+    """What both replicas have after each has sent its changes and read the other's; rows on which they differ would come twice."""
+    orders = _orders(spark, sf_dir)
+    a, b = _replica(spark, 1, logs.orders_before(orders)), _replica(spark, 2, logs.orders_after(orders))
+    wire = FolderTransport(spark, fresh(spark, "wire"))
+    for r in (a, b, a):
+        sync.sync(r, wire)
+    return a.table("orders").union(b.table("orders")).distinct()
+
+
+@query(f"with {ORDER_CLOCKS} select o_orderkey, col_name, db_version::bigint as db_version, seq::bigint as seq from clocks where db_version > 50 or (db_version = 50 and seq > 1000)")
+def sql_changes_since(spark, sf_dir):
+    """The feed by its names in SQL: a table function, and the key's value."""
+    install(_wire(spark, sf_dir), bytes(16))
+    return spark.sql("select drift_pk_values(pk)[0].i as o_orderkey, col_name, db_version, seq from drift_changes_since(50, 1000)")
+
+
+@query("select * from (values ('no key', false), ('key that may be null', false), ('integer key', false), ('integer key, forced', true), ('value without default', false), ('value with default', true), ('long name', false), ('129 key columns', false), ('plain', true)) t(rule, eligible)")
+def eligibility_rules(spark, sf_dir):
+    """Which declarations may be replicated."""
+    field = lambda n, kind=T.StringType(), null=False: T.StructField(n, kind, null)
+    spec = lambda fields, key, name="t", **more: TableSpec(name, T.StructType(fields), key, **more)
+    rules = [
+        ("no key", spec([field("a")], ()), False),
+        ("key that may be null", spec([field("a", null=True)], ("a",)), False),
+        ("integer key", spec([field("a", T.LongType())], ("a",)), False),
+        ("integer key, forced", spec([field("a", T.LongType())], ("a",)), True),
+        ("value without default", spec([field("a"), field("b")], ("a",)), False),
+        ("value with default", spec([field("a"), field("b")], ("a",), defaults={"b": "x"}), False),
+        ("long name", spec([field("a")], ("a",), name="x" * 1901), False),
+        ("129 key columns", spec([field(f"c{i}") for i in range(129)], tuple(f"c{i}" for i in range(129))), False),
+        ("plain", spec([field("a"), field("b", null=True)], ("a",)), False),
+    ]
+
+    def eligible(table: TableSpec, force: bool) -> bool:
+        try:
+            return table.validate(force) is table
+        except SpecError:
+            return False
+
+    return spark.createDataFrame([(rule, eligible(table, force)) for rule, table, force in rules], "rule string, eligible boolean")
+
+
+@query("select * from (values ('enabled', 'true'), ('enabled, off', 'false'), ('enabled again', 'true'), ('setting', 'v'), ('setting, deleted', '0'), ('table setting', 'y'), ('cleaned up', 'false'), ('algorithm changed', 'refused'), ('opened again', 'true')) t(step, result)")
+def configuration_steps(spark, sf_dir):
+    """Enabling, switching, settings and cleaning up, step by step."""
+    found = []
+    r = _replica(spark, 1, logs.orders_before(_orders(spark, sf_dir)).limit(10))
+    put = lambda step, result: found.append((step, str(result).lower()))
+    put("enabled", r.is_enabled("ORDERS"))
+    r.set_enabled("*", False)
+    put("enabled, off", r.is_enabled("orders"))
+    r.set_enabled("orders", True)
+    put("enabled again", r.is_enabled("orders"))
+    try:
+        r.enable(TableSpec("orders", ORDER_SPEC.schema, ORDER_SPEC.key, algo=Algo.GOS), r.table("orders"), force=True)
+        put("algorithm changed", "taken")
+    except SpecError:
+        put("algorithm changed", "refused")
+    r.set("Key", "v")
+    put("setting", r.get("key"))
+    r.set("key", None)
+    put("setting, deleted", r.get("key"))
+    r.set_column("orders", "o_orderstatus", "k", "x")
+    r.set_table("orders", "k", "y")
+    put("table setting", r.table_settings("orders")["k"]["value"])
+    put("opened again", Replica(spark, r.path).is_enabled("orders"))
+    r.cleanup("orders")
+    put("cleaned up", r.is_enabled("orders"))
+    return spark.createDataFrame(found, "step string, result string")

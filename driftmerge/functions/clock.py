@@ -19,8 +19,8 @@ VERSION = "0.8.12"
 
 
 def row_id(db_version: Column, seq: Column) -> Column:
-    """One 64-bit id of a change: the version above 30 bits of seq."""
-    return F.shiftleft(db_version.cast("bigint"), SEQ_BITS).bitwiseOR(seq.cast("bigint"))
+    """One 64-bit id of a change: the version above 30 bits of seq; null where seq takes more."""
+    return F.when(seq.between(0, (1 << SEQ_BITS) - 1), F.shiftleft(db_version.cast("bigint"), SEQ_BITS).bitwiseOR(seq.cast("bigint")))
 
 
 def row_id_version(rid: Column) -> Column:
@@ -88,3 +88,8 @@ def uuid_text(plain: Column) -> Column:
 def version_number(version: str) -> tuple[int, ...]:
     """Comparable form of major.minor.patch."""
     return tuple(int(x) for x in version.split("."))
+
+
+def compare_uuids(left: Column, right: Column) -> Column:
+    """-1, 0 or 1 for two binary UUIDs of version 7: by time, then by their other bytes, which is the order of all their bytes."""
+    return F.when(left == right, 0).when(left < right, -1).when(left > right, 1)

@@ -8,9 +8,8 @@ count byte; a row of a payload does not.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +20,7 @@ from driftmerge.functions import values as V
 TAG_NEGATIVE_INT, TAG_INT, TAG_FLOAT, TAG_TEXT, TAG_BLOB, TAG_NULL, TAG_INT_MIN, TAG_NEGATIVE_FLOAT = range(8)
 INT64_MIN = -(1 << 63)
 MAX_KEY_VALUES = 255
+_DOUBLE = struct.Struct(">d")
 
 
 class CodecError(ValueError):
@@ -73,52 +73,92 @@ def encode_key(key: list[Column]) -> Column:
     return F.unhex(F.concat(F.lit(f"{len(key):02X}"), *(encoded(v) for v in key)))
 
 
-def _take(data: bytes, at: int, n: int) -> tuple[bytes, int]:
-    if at + n > len(data):
-        raise CodecError("the encoding ends too early")
-    return data[at : at + n], at + n
+class Decoded:
+    """Decoded values one after another, as the columns of VALUE."""
 
+    __slots__ = ("r", "i", "d", "s", "b")
+    KINDS = {"r": pa.int32(), "i": pa.int64(), "d": pa.float64(), "s": pa.string(), "b": pa.binary()}
 
-def decode(data: bytes, at: int, count: int) -> tuple[list[tuple], int]:
-    """count values as (r, i, d, s, b) from ``at`` on, and where they end."""
-    out = []
+    def __init__(self) -> None:
+        self.r, self.i, self.d, self.s, self.b = [], [], [], [], []
+
+    def __len__(self) -> int:
+        return len(self.r)
+
+    def cut(self, n: int) -> None:
+        """Forget all but the first n."""
+        for x in (self.r, self.i, self.d, self.s, self.b):
+            del x[n:]
+
+    def put(self, r: int, i=None, d=None, s=None, b=None) -> None:
+        self.r.append(r)
+        self.i.append(i)
+        self.d.append(d)
+        self.s.append(s)
+        self.b.append(b)
+
+    def every(self, n: int = 1, first: int = 0) -> pa.StructArray:
+        """Each n-th value from the first-th on."""
+        return pa.StructArray.from_arrays([pa.array(getattr(self, k)[first::n], kind) for k, kind in self.KINDS.items()], list(self.KINDS))
+
+
+def decode(data: bytes, at: int, count: int, out: Decoded) -> int:
+    """Put count values from ``at`` on into out; where they end. Of an encoding that breaks off nothing is left in out."""
+    held, end = len(out), len(data)
     for _ in range(count):
-        head, at = _take(data, at, 1)
-        tag, width = head[0] & 7, head[0] >> 3
+        head = data[at] if at < end else TAG_NULL | 0xF8
+        tag, width = head & 7, head >> 3
+        at += 1
         if tag in (TAG_INT, TAG_NEGATIVE_INT, TAG_TEXT, TAG_BLOB):
-            raw, at = _take(data, at, width)
-            number = int.from_bytes(raw, "big")
+            number = int.from_bytes(data[at : at + width], "big")
+            at += width
             if tag == TAG_TEXT:
-                raw, at = _take(data, at, number)
-                out.append((V.TEXT, None, None, raw.decode(errors="replace"), None))
+                out.put(V.TEXT, s=data[at : at + number].decode(errors="replace"))
+                at += number
             elif tag == TAG_BLOB:
-                raw, at = _take(data, at, number)
-                out.append((V.BLOB, None, None, None, raw))
+                out.put(V.BLOB, b=data[at : at + number])
+                at += number
+            elif number - (tag == TAG_NEGATIVE_INT) >= 1 << 63:
+                at = end + 1
             else:
-                out.append((V.INTEGER, -number if tag == TAG_NEGATIVE_INT else number, None, None, None))
+                out.put(V.INTEGER, -number if tag == TAG_NEGATIVE_INT else number)
         elif tag in (TAG_FLOAT, TAG_NEGATIVE_FLOAT):
-            raw, at = _take(data, at, 8)
-            number = struct.unpack(">d", raw)[0]
-            out.append((V.FLOAT, None, -number if tag == TAG_NEGATIVE_FLOAT else number, None, None))
+            if at + 8 <= end:
+                number = _DOUBLE.unpack_from(data, at)[0]
+                out.put(V.FLOAT, d=-number if tag == TAG_NEGATIVE_FLOAT else number)
+            at += 8
+        elif tag == TAG_INT_MIN:
+            out.put(V.INTEGER, INT64_MIN)
         else:
-            out.append((V.INTEGER, INT64_MIN, None, None, None) if tag == TAG_INT_MIN else (V.NULL, None, None, None, None))
-    return out, at
+            out.put(V.NULL)
+        if at > end:
+            out.cut(held)
+            raise CodecError("the encoding ends too early")
+    return at
 
 
-def decode_key(key: bytes) -> list[tuple]:
+def decode_key(key: bytes, out: Decoded) -> int:
+    """Put the values of a key into out; how many they are."""
     if not key:
         raise CodecError("an empty key")
-    found, at = decode(key, 1, key[0])
-    if at != len(key):
+    held = len(out)
+    if decode(key, 1, key[0], out) != len(key):
+        out.cut(held)
         raise CodecError("bytes after the key's last value")
-    return found
-
-
-@F.pandas_udf(T.ArrayType(VALUE := V.VALUE))
-def decoded_key(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """array<VALUE> of each key; null for null."""
-    for batch in keys:
-        yield batch.map(lambda k: None if k is None else [dict(zip("ridsb", v, strict=True)) for v in decode_key(bytes(k))])
+    return key[0]
+
+
+@F.arrow_udf(T.ArrayType(VALUE := V.VALUE))
+def decoded_key(keys: pa.Array) -> pa.Array:
+    """array<VALUE> of each key; null for null, and for bytes that are no key."""
+    out, ends, right = Decoded(), [0], []
+    for key in keys.to_pylist():
+        try:
+            right.append(key is not None and decode_key(key, out) > 0)
+        except CodecError:
+            right.append(False)
+        ends.append(len(out))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), out.every(), mask=pa.array([not x for x in right]))
 
 
 def key_value(key: Column, n: int) -> Column:

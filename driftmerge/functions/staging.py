@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a folder of this application's own."""
+    """spark.checkpoint.dir; where it is unset, a folder of this application's own if all of Spark runs on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         where = f"file://{tempfile.gettempdir()}/driftmerge-{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

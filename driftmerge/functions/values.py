@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 VALUE = T.StructType([T.StructField("r", T.IntegerType()), T.StructField("i", T.LongType()), T.StructField("d", T.DoubleType()), T.StructField("s", T.StringType()), T.StructField("b", T.BinaryType())])
 
-INTEGER, FLOAT, TEXT, BLOB, NULL = 5, 4, 3, 2, 1
+INTEGER, FLOAT, TEXT, BLOB, NULL, NOTHING = 5, 4, 3, 2, 1, 0
 
 
 def _struct(rank, i=None, d=None, s=None, b=None) -> Column:
@@ -24,6 +24,11 @@ def null_value() -> Column:
     return _struct(NULL)
 
 
+def no_value() -> Column:
+    """Below all values, null included: the row isn't there."""
+    return _struct(NOTHING)
+
+
 def storage_class(kind: T.DataType) -> int:
     """Rank of the storage class that a Spark type is carried in."""
     if isinstance(kind, (T.IntegralType, T.BooleanType)):

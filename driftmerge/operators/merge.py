@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmerge.functions import values as V
-from driftmerge.functions.clock import TOMBSTONE, merged_version
+from driftmerge.functions.clock import RESTRICTED, TOMBSTONE, merged_version
 from driftmerge.plans.spec import Algo
 
 #: Columns of a change besides those of its key.
@@ -69,6 +69,37 @@ def merge_changes(local: DataFrame, incoming: DataFrame, key: list[str], columns
     return won.withColumn("db_version", version.cast("bigint"))
 
 
+def unseen(local: DataFrame) -> DataFrame:
+    """A feed whose cells of rows that can't be seen have no value, which is below every value, instead of the mark for it."""
+    return local.withColumn("col_value", F.when(F.col("col_value")["s"].eqNullSafe(F.lit(RESTRICTED)), V.no_value()).otherwise(F.col("col_value")))
+
+
+def upserted(base: DataFrame, local: DataFrame, won: DataFrame, key: list[str], columns: dict, defaults: dict | None = None, algo: Algo = Algo.CLS) -> DataFrame:
+    """base after the changes of others in won, which is what merge_changes() has made of local and those.
+
+    Rows that no such change has won in stay as they are, with or without clocks. A row whose causal length has grown to an even
+    number goes; one that comes back to life has defaults where nothing is written. A row that isn't in base is made if a change
+    of another replica has won in it, as a row that was deleted without capture is.
+    """
+    state = merged(won, key, list(columns), algo)
+    theirs = lambda c: F.coalesce(~F.col(f"`{c}`.is_local"), F.lit(False))
+    touched = theirs("sentinel")
+    for c in columns:
+        touched = touched | theirs(c)
+    state = state.where(touched).select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key)), "cl", *(F.when(theirs(c), F.col(f"`{c}`.col_value")).alias(f"_w{i}") for i, c in enumerate(columns)))
+    known = local.groupBy(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key))).agg(F.max("cl").alias("_cl"))
+    keys = [f"_k{i}" for i in range(len(key))]
+    state = state.join(known, keys, "left").withColumn("_new", F.lit(False) if algo.grow_only else F.coalesce(F.col("cl") > F.col("_cl"), F.lit(True)))
+    held = base.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key)), *(F.col(f"`{c}`").alias(f"_v{i}") for i, c in enumerate(columns)), F.lit(True).alias("_there"))
+    both = held.join(state, keys, "full").where("cl is null or cl % 2 = 1")
+    made = []
+    for i, (c, kind) in enumerate(columns.items()):
+        default = F.lit((defaults or {}).get(c)).cast(kind)
+        kept = F.when(F.col("_there").isNotNull() & ~F.coalesce("_new", F.lit(False)), F.col(f"_v{i}")).otherwise(default)
+        made.append(F.when(F.col(f"_w{i}").isNotNull(), V.from_value(F.col(f"_w{i}"), kind)).otherwise(kept).alias(c))
+    return both.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(key)), *made)
+
+
 def rejected(changes: DataFrame, key: list[str], columns: list[str], algo: Algo = Algo.CLS) -> DataFrame:
     """The changes that lose: to a greater causal length, or to another change of their cell. Copies of a winner don't lose."""
     won = cells(merged(changes, key, columns, algo), key, columns)

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from driftmerge.functions import codec
 from driftmerge.functions import values as V
-from driftmerge.functions.clock import VERSION, uuid7
+from driftmerge.functions.clock import TOMBSTONE, VERSION, uuid7
+from driftmerge.functions.staging import stage
 from driftmerge.operators import alter, capture, merge, policy
 from driftmerge.operators.feed import feed
 from driftmerge.plans.schema import SchemaHistory
@@ -24,7 +25,7 @@ from driftmerge.plans.spec import Algo, SpecError, TableSpec
 from driftmerge.sources import files
 from driftmerge.sources.payload import CHANGES
 
-CURSORS = ("send_dbversion", "send_seq", "check_batch")
+CURSORS = ("send_dbversion", "send_seq")
 
 
 class Replica:
@@ -33,10 +34,12 @@ class Replica:
     def __init__(self, spark: SparkSession, path: str, site_id: bytes | None = None):
         self.spark, self.path = spark, path.rstrip("/")
         self._off: set[str] = set()  # of this session only
+        #: What became of the changes applied last: received, applied, and how many were skipped for which reason.
+        self.report: dict = {"received": 0, "applied": 0, "skipped": {}}
         if files.exists(spark, f"{self.path}/state.json"):
             self._state = files.read_json(spark, f"{self.path}/state.json")
         else:
-            self._state = {"site_id": (site_id or uuid7()).hex(), "tables": {}, "settings": {"version": VERSION}, "table_settings": {}, "schemas": [], "cursors": dict.fromkeys(CURSORS, 0), "pre_alter_dbversion": 0}
+            self._state = {"site_id": (site_id or uuid7()).hex(), "tables": {}, "settings": {"version": VERSION}, "table_settings": {}, "schemas": [], "cursors": dict.fromkeys(CURSORS, 0), "received": {}, "pre_alter_dbversion": 0}
             self._commit()
 
     def _commit(self) -> None:
@@ -101,6 +104,17 @@ class Replica:
         self._schemas()
         self._commit()
 
+    def enable_all(self, keys: dict[str, tuple[str, ...]], algo: Algo = Algo.CLS, force: bool = False) -> None:
+        """Replicate every table and view of the session's catalogue, none if one isn't eligible; keys has the key columns of each."""
+        found = []
+        for t in self.spark.catalog.listTables():
+            key, rows = tuple(keys.get(t.name, ())), self.spark.table(f"`{t.name}`")
+            held = {k.lower() for k in key}
+            fields = [T.StructField(f.name, f.dataType, f.nullable and f.name.lower() not in held) for f in rows.schema]
+            found.append((TableSpec(t.name, T.StructType(fields), key, algo=algo).validate(force).check_keys(rows), rows))
+        for spec, rows in found:
+            self.enable(spec, rows, force)
+
     def _no_clocks(self, spec: TableSpec) -> DataFrame:
         key = [T.StructField(k, spec.kind(k)) for k in spec.key]
         rest = [T.StructField("col_name", T.StringType()), T.StructField("col_version", T.LongType()), T.StructField("db_version", T.LongType()), T.StructField("site_id", T.BinaryType()), T.StructField("seq", T.LongType())]
@@ -115,10 +129,11 @@ class Replica:
         return name.lower() in self._state["tables"] and name.lower() not in self._off
 
     def cleanup(self, name: str) -> None:
-        """Forget a table's clocks and settings, its rows stay where they are; '*' forgets the replica."""
+        """Forget a table's clocks and settings, its rows stay where they are; '*' forgets the replica: all but the tables' rows goes."""
         if name == "*":
             files.delete(self.spark, f"{self.path}/state.json")
-            self._state |= {"tables": {}, "table_settings": {}, "schemas": [], "cursors": dict.fromkeys(CURSORS, 0)}
+            self.vacuum(clocks=False)
+            self._state |= {"tables": {}, "table_settings": {}, "schemas": [], "cursors": dict.fromkeys(CURSORS, 0), "received": {}}
             return
         t = self._state["tables"].pop(name.lower(), None)
         self._state["table_settings"].pop(name.lower(), None)
@@ -126,6 +141,14 @@ class Replica:
             files.delete(self.spark, f"{self.path}/{t['clocks']}")
         self._commit()
 
+    def vacuum(self, clocks: bool = True) -> int:
+        """Delete folders of versions that no longer hold (and all clocks, if they aren't wanted); how many. For when nobody reads them."""
+        held = {t["base"] for t in self._state["tables"].values()} | {t["clocks"] for t in self._state["tables"].values() if clocks}
+        gone = [n for n in files.names(self.spark, self.path) if n.startswith(("base-", "clocks-")) and n not in held]
+        for n in gone:
+            files.delete(self.spark, f"{self.path}/{n}")
+        return len(gone)
+
     def set(self, key: str | None, value) -> None:
         """A setting of the replica; None as value deletes it, as key does nothing."""
         if key is not None:
@@ -159,6 +182,15 @@ class Replica:
         self._state["cursors"] |= at
         self._commit()
 
+    @property
+    def received(self) -> dict[str, int]:
+        """Number of the last batch that was merged, by the id of the site that sent it."""
+        return dict(self._state.get("received", {}))
+
+    def set_received(self, last: dict[str, int]) -> None:
+        self._state["received"] = dict(last)
+        self._commit()
+
     # Versions and changes.
 
     def db_version(self) -> int:
@@ -197,22 +229,42 @@ class Replica:
         self._commit()
 
     def apply(self, changes: DataFrame, allowed: Column | None = None) -> int:
-        """Merge changes (columns of CHANGES) of other replicas; the number that came in. allowed is judged on each change, by transactions."""
+        """Merge changes (columns of CHANGES) of other replicas; the number that came in. allowed is judged on each change, by transactions.
+
+        Rows that no change wins in stay as they are, written with capture or without. Changes of tables or columns that aren't
+        there, keys that can't be decoded, and what a column ``error`` gives a reason for are skipped and counted in ``report``.
+        """
+        changes = changes if "error" in changes.columns else changes.withColumn("error", F.lit(None).cast("string"))
+        specs = {n: self.spec(n) for n in self._state["tables"]}
         if allowed is not None:
-            changes, _ = policy.gated(changes, allowed)
+            bad = changes.where("error is not null")
+            changes = policy.gated(changes.where("error is null"), allowed)[0].unionByName(bad)
+        changes = changes.withColumn("_key", codec.decoded_key(F.col("pk")))
+        reason, there = F.col("error"), F.lit(False)
+        for name, spec in specs.items():
+            mine = F.lower("tbl") == name
+            there = there | mine
+            whole = F.col("_key").isNotNull() & (F.size("_key") == len(spec.key))
+            for i, k in enumerate(spec.key):
+                whole = whole & V.from_value(F.get("_key", F.lit(i)), spec.kind(k)).isNotNull()
+            reason = F.coalesce(reason, F.when(mine & ~F.coalesce(whole, F.lit(False)), "a key that can't be decoded"), F.when(mine & ~F.coalesce(F.col("col_name").isin(*spec.values, TOMBSTONE), F.lit(False)), "an unknown column"))
+        lacking = F.col("cl").isNull() | F.col("col_version").isNull() | F.col("db_version").isNull() | F.col("seq").isNull() | F.col("col_value").isNull()
+        reason = F.coalesce(reason, F.when(~F.coalesce(there, F.lit(False)), "an unknown table"), F.when(lacking, "an incomplete change"))
+        changes = stage(changes.withColumn("error", reason))
+        counted = {r.error: r["count"] for r in changes.groupBy("error").count().collect()}  # a row for each reason
         version = self.db_version()
-        for name in list(self._state["tables"]):
-            spec = self.spec(name)
+        for name, spec in specs.items():
             key, columns = list(spec.key), list(spec.values)
-            incoming = changes.where(F.lower("tbl") == name)
-            values = codec.decoded_key(F.col("pk"))
-            incoming = incoming.withColumn("_key", values).select(*(V.from_value(F.col("_key")[i], spec.kind(k)).alias(k) for i, k in enumerate(key)), *merge.CHANGE)
-            won = merge.merge_changes(self.logical_changes(name), incoming, key, columns, version, spec.algo)
-            state = merge.merged(won.drop("is_local"), key, columns, spec.algo)
-            base = merge.rows(state, key, {c: spec.kind(c) for c in columns}, spec.defaults)
-            self._put(spec, base, won.select(*key, "col_name", "col_version", "db_version", "site_id", "seq"))
+            incoming = changes.where((F.lower("tbl") == name) & F.col("error").isNull())
+            incoming = incoming.select(*(V.from_value(F.col("_key")[i], spec.kind(k)).alias(k) for i, k in enumerate(key)), *merge.CHANGE)
+            local = merge.unseen(self.logical_changes(name))
+            won = stage(merge.merge_changes(local, incoming, key, columns, version, spec.algo))
+            base = merge.upserted(self.table(name), local, won, key, {c: spec.kind(c) for c in columns}, spec.defaults, spec.algo)
+            self._put(spec, base.select(*(F.col(f"`{f.name}`") for f in spec.schema)), won.select(*key, "col_name", "col_version", "db_version", "site_id", "seq"))
         self._commit()
-        return changes.count()
+        received = sum(counted.values())
+        self.report = {"received": received, "applied": counted.pop(None, 0), "skipped": counted}
+        return received
 
     def alter(self, name: str, new: TableSpec, change: Callable[[DataFrame], DataFrame]) -> None:
         """Change a table's schema: new is its declaration afterwards, change turns its rows into those of the new schema."""

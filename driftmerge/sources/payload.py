@@ -85,8 +85,8 @@ def encode(changes: DataFrame, schema_hash: int = 0, compress: bool = True, rows
     return dealt.mapInArrow(pack, PAYLOADS)
 
 
-def unpacked(payload: bytes, accepted: frozenset[int] | None = None) -> Iterator[list[tuple]]:
-    """The rows of a payload, each a list of decoded values."""
+def _body(payload: bytes, accepted: frozenset[int] | None) -> tuple[dict[str, int], bytes]:
+    """A payload's header and its rows' bytes."""
     head = header(payload)
     if accepted is not None and head["schema_hash"] not in accepted:
         raise SchemaMismatch(f"the schema hash {head['schema_hash']} is unknown here")
@@ -98,28 +98,57 @@ def unpacked(payload: bytes, accepted: frozenset[int] | None = None) -> Iterator
             raise PayloadError("the payload can't be decompressed") from e
         if len(body) != head["expanded_size"]:
             raise PayloadError("the payload is shorter than stated")
-    at = 0
-    for _ in range(head["nrows"]):
-        row, at = codec.decode(body, at, head["ncols"])
-        yield row
+    return head, body
 
 
-def decode(payloads: DataFrame, column: str = "payload", accepted: Iterable[int] | None = None) -> DataFrame:
-    """Changes of the payloads; with ``accepted``, a payload under another schema hash raises SchemaMismatch in the job."""
+_HELD = {"tbl": "s", "pk": "b", "col_name": "s", "col_value": "", "col_version": "i", "db_version": "i", "site_id": "b", "cl": "i", "seq": "i"}
+_ARROW = pa.schema([(c, codec.Decoded.KINDS[k] if k else pa.struct(list(codec.Decoded.KINDS.items()))) for c, k in _HELD.items()])
+#: Rows that are decoded at a time.
+_SOME = 10_000
+
+
+def _changes(values: codec.Decoded) -> list[pa.Array]:
+    n = len(_HELD)
+    return [pa.array(getattr(values, k)[j::n], codec.Decoded.KINDS[k]) if k else values.every(n, j) for j, k in enumerate(_HELD.values())]
+
+
+def decode(payloads: DataFrame, column: str = "payload", accepted: Iterable[int] | None = None, skip: bool = False) -> DataFrame:
+    """Changes of the payloads; with ``accepted``, a payload under another schema hash raises SchemaMismatch in the job.
+
+    Bytes that are no payload, or break off in a row, raise an error in the job. With ``skip`` they don't: a column ``error`` is
+    added, null for changes, and each such payload makes one row more that has nothing but its error. Rows before the break count.
+    """
     hashes = None if accepted is None else frozenset(accepted)
-    schema = pa.schema([("tbl", pa.string()), ("pk", pa.binary()), ("col_name", pa.string()), ("col_value", pa.struct([("r", pa.int32()), ("i", pa.int64()), ("d", pa.float64()), ("s", pa.string()), ("b", pa.binary())])), ("col_version", pa.int64()), ("db_version", pa.int64()), ("site_id", pa.binary()), ("cl", pa.int64()), ("seq", pa.int64())])
-    held = {"tbl": 3, "pk": 4, "col_name": 3, "col_version": 1, "db_version": 1, "site_id": 4, "cl": 1, "seq": 1}
+    schema = pa.schema([*_ARROW, ("error", pa.string())]) if skip else _ARROW
+
+    def made(values: codec.Decoded) -> pa.RecordBatch:
+        columns = _changes(values)
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.string())] if skip else columns, schema=schema)
+
+    def rows(payload: bytes) -> Iterator[codec.Decoded]:
+        head, body = _body(payload, hashes)
+        if head["ncols"] != len(_HELD):
+            raise PayloadError(f"rows of {head['ncols']} values")
+        at, values = 0, codec.Decoded()
+        try:
+            for n in range(head["nrows"]):
+                at = codec.decode(body, at, len(_HELD), values)
+                if (n + 1) % _SOME == 0:
+                    yield values
+                    values = codec.Decoded()
+        finally:
+            if len(values):
+                yield values
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload in batch.column(0).to_pylist():
-                rows = []
-                for row in unpacked(payload, hashes) if payload is not None else ():
-                    rows.append({n: dict(zip("ridsb", v, strict=True)) if n == "col_value" else v[held[n]] for n, v in zip(schema.names, row, strict=True)})
-                    if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return payloads.select(column).mapInArrow(split, CHANGES)
+                try:
+                    for values in rows(payload) if payload is not None else ():
+                        yield made(values)
+                except (PayloadError, codec.CodecError) as e:
+                    if not skip:
+                        raise
+                    yield pa.RecordBatch.from_pylist([{"error": str(e)}], schema)
+
+    return payloads.select(column).mapInArrow(split, T.StructType([*CHANGES, T.StructField("error", T.StringType())]) if skip else CHANGES)

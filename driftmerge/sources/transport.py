@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import parse_qsl, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +20,13 @@ class Endpoints:
     upload: str
     authentication: str | None
 
+    def with_token(self, token: str) -> Endpoints:
+        """The same addresses with a token in place of what there was; it is never written to a file."""
+        return replace(self, authentication=f"token={token}")
+
+    def with_apikey(self, key: str) -> Endpoints:
+        return replace(self, authentication=f"apikey={key}")
+
 
 def endpoints(connection: str, site_id: bytes, prefix: str = "v1/changes", default_port: str = "443", legacy_port: str = "8860", aliases: tuple[str, ...] = ()) -> Endpoints:
     """scheme://host[:port]/database[?apikey=...|token=...] to the check and upload addresses of a site; aliases are schemes that mean https."""
@@ -45,31 +52,35 @@ class Transport(ABC):
         """Publish payloads (a column ``payload``, with cursors) of a site as one batch, wholly or not at all."""
 
     @abstractmethod
-    def pending(self, site_id: bytes, after: int) -> list[int]:
-        """Numbers of the batches of other sites after one, in order."""
+    def pending(self, site_id: bytes, last: dict[str, int]) -> list[tuple[str, int]]:
+        """(site, number) of the complete batches of other sites beyond the last number of each, in order."""
 
     @abstractmethod
-    def download(self, numbers: list[int]) -> DataFrame:
+    def download(self, batches: list[tuple[str, int]]) -> DataFrame:
         """Payloads of those batches."""
 
 
 class FolderTransport(Transport):
-    """Batches as Parquet folders ``<number>-<site>`` on any file system that Spark reads; a batch counts once it is complete."""
+    """Batches as Parquet folders ``<number>-<site>`` on any file system that Spark reads; a batch counts once it is complete.
+
+    Each site numbers its own batches, and uploads one after another, so a reader's cursor for each site misses none, whichever
+    site's upload ends first.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _batches(self) -> list[tuple[int, str, str]]:
-        found = [(int(n.split("-")[0]), n.split("-")[1], n) for n in files.names(self.spark, self.path) if n.split("-")[0].isdigit()]
-        return sorted(x for x in found if files.exists(self.spark, f"{self.path}/{x[2]}/_SUCCESS"))
+    def _batches(self) -> list[tuple[str, int, str]]:
+        names = [n for n in files.names(self.spark, self.path) if n.split("-")[0].isdigit()]
+        return sorted((n.split("-")[1], int(n.split("-")[0]), n) for n in names)
 
     def upload(self, payloads: DataFrame, site_id: bytes) -> None:
-        number = max([0, *(n for n, _, _ in self._batches())]) + 1
+        number = max([0, *(n for site, n, _ in self._batches() if site == site_id.hex())]) + 1
         payloads.write.parquet(f"{self.path}/{number:012d}-{site_id.hex()}")
 
-    def pending(self, site_id: bytes, after: int) -> list[int]:
-        return [n for n, site, _ in self._batches() if n > after and site != site_id.hex()]
+    def pending(self, site_id: bytes, last: dict[str, int]) -> list[tuple[str, int]]:
+        beyond = [(site, n, name) for site, n, name in self._batches() if site != site_id.hex() and n > last.get(site, 0)]
+        return [(site, n) for site, n, name in beyond if files.exists(self.spark, f"{self.path}/{name}/_SUCCESS")]
 
-    def download(self, numbers: list[int]) -> DataFrame:
-        wanted = set(numbers)
-        return self.spark.read.parquet(*(f"{self.path}/{name}" for n, _, name in self._batches() if n in wanted)).select(F.col("payload"))
+    def download(self, batches: list[tuple[str, int]]) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.path}/{number:012d}-{site}" for site, number in batches)).select(F.col("payload"))

@@ -35,13 +35,19 @@ def send(replica: Replica, transport: Transport) -> int:
 
 
 def check(replica: Replica, transport: Transport, allowed=None) -> int:
-    """Merge what other replicas have uploaded since; how many changes came in. Batches count as received once merged."""
-    numbers = transport.pending(replica.site_id, replica.cursor("check_batch"))
-    if not numbers:
+    """Merge what other replicas have uploaded since; how many changes came in. Batches count as received once merged.
+
+    Payloads and changes that can't be read are skipped; ``replica.report`` has their numbers.
+    """
+    batches = transport.pending(replica.site_id, replica.received)
+    if not batches:
         return 0
-    changes = stage(payload.decode(transport.download(numbers), accepted=replica.schemas.hashes))
+    changes = stage(payload.decode(transport.download(batches), accepted=replica.schemas.hashes, skip=True))
     got = replica.apply(changes, allowed)
-    replica.set_cursors(check_batch=max(numbers))
+    last = replica.received
+    for site, number in batches:
+        last[site] = max(number, last.get(site, 0))
+    replica.set_received(last)
     return got
 
 
@@ -58,7 +64,8 @@ def sync(replica: Replica, transport: Transport, wait_ms: int = 100, retries: in
 
 def reset(replica: Replica) -> None:
     """Zero the cursors, so everything is sent and read again; merging twice changes nothing."""
-    replica.set_cursors(send_dbversion=0, send_seq=0, check_batch=0)
+    replica.set_cursors(send_dbversion=0, send_seq=0)
+    replica.set_received({})
 
 
 def logout(replica: Replica) -> None:

@@ -52,10 +52,12 @@ def test_values_are_encoded_and_decoded(spark):
         assert [tuple(x) for x in r.back] == [as_value(many[r.n]), as_value(None)]
 
 
-def test_broken_keys_are_refused():
+def test_broken_keys_are_refused(spark):
     for key in (b"", b"\x01", b"\x01\x13abc", b"\x01\x05\x05", b"\x02\x05"):
         with pytest.raises(codec.CodecError):
-            codec.decode_key(key)
+            codec.decode_key(key, codec.Decoded())
+    table = spark.createDataFrame([(b"\x01\x13abc",), (None,), (b"\x01\x0b\x01a",)], "k binary")
+    assert [r.v and r.v[0].s for r in table.select(codec.decoded_key(F.col("k")).alias("v")).collect()] == [None, None, "a"]
 
 
 def test_row_ids(spark):
@@ -88,18 +90,25 @@ def test_payload_checks(spark):
     with pytest.raises(payload.PayloadError):
         payload.header(bytes(32))
     body = b"".join(expected(v) for v in ("t", b"k", "c", 5, 1, 1, b"s", 1, 0))
+    table = lambda *made: spark.createDataFrame([(m,) for m in made], "payload binary")
     for compress in (True, False):
         made = payload._packed(body * 50, 50, 9, 4, compress)
-        assert len(list(payload.unpacked(made))) == 50 and (len(made) < 32 + len(body) * 50) == compress
-        with pytest.raises(payload.SchemaMismatch):
-            list(payload.unpacked(made, frozenset([5])))
-    with pytest.raises(codec.CodecError):
-        list(payload.unpacked(payload._packed(body, 2, 9, 4, False)))
+        rows = payload.decode(table(made, None), accepted=[4]).collect()
+        assert len(rows) == 50 and (len(made) < 32 + len(body) * 50) == compress
+        assert (rows[0].tbl, bytes(rows[0].pk), rows[0].col_name, rows[0].col_value.i, bytes(rows[0].site_id), rows[0].seq) == ("t", b"k", "c", 5, b"s", 0)
+        with pytest.raises(Exception, match="schema hash"):
+            payload.decode(table(made), accepted=[5]).collect()
+    broken = payload._packed(body, 2, 9, 4, False)
+    with pytest.raises(Exception, match="ends too early"):
+        payload.decode(table(broken)).collect()
+    found = payload.decode(table(broken, b"short", payload._packed(body, 1, 9, 4, True)), skip=True).collect()
+    assert sum(r.error is None for r in found) == 2 and sorted(r.error for r in found if r.error) == ["a payload has a header of 32 bytes", "the encoding ends too early"]
     assert payload.encode(spark.createDataFrame([], payload.CHANGES)).count() == 0
 
 
 def test_endpoints():
     at = endpoints("cloud://host.example:8860/db.sqlite?x=1&token=t", bytes(16), aliases=("cloud",))
     assert at.check == f"https://host.example:443/v1/changes/db.sqlite/{'0' * 32}" and at.upload == at.check + "/upload" and at.authentication == "token=t"
+    assert at.with_apikey("k").authentication == "apikey=k" and at.with_token("u").check == at.check
     with pytest.raises(ValueError):
         endpoints("https://host.example", bytes(16))
