@@ -404,14 +404,14 @@ def pk_encode_composite(spark, sf_dir):
 @query("select -o_orderkey as i, o_totalprice - 100000 as d, o_orderpriority as s, hex(o_orderstatus) as b, true as n, 5::bigint as size from orders")
 def pk_roundtrip(spark, sf_dir):
     rows = _orders(spark, sf_dir).select((-F.col("o_orderkey")).alias("i"), (F.col("o_totalprice") - 100_000).alias("d"), F.col("o_orderpriority").alias("s"), F.encode("o_orderstatus", "UTF-8").alias("b"))
-    key = codec.encode_key([_value("i", T.LongType()), _value("d", T.DoubleType()), _value("s", T.StringType()), _value("b", T.BinaryType()), V.null_value()])
+    key = codec.key_of([(F.col("i"), T.LongType()), (F.col("d"), T.DoubleType()), (F.col("s"), T.StringType()), (F.col("b"), T.BinaryType()), (F.lit(None), T.NullType())])
     back = rows.select(codec.decoded_key(key).alias("v"))
     return back.select(F.col("v")[0]["i"].alias("i"), F.col("v")[1]["d"].alias("d"), F.col("v")[2]["s"].alias("s"), F.hex(F.col("v")[3]["b"]).alias("b"), (F.col("v")[4]["r"] == V.NULL).alias("n"), F.size("v").cast("bigint").alias("size"))
 
 
 def _wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed of orders as changes on the wire: encoded keys and 16-byte site ids."""
-    key = codec.encode_key([_value("o_orderkey", T.LongType())])
+    key = codec.key_of([(F.col("o_orderkey"), T.LongType())])
     return _feed(spark, sf_dir).select(F.lit("orders").alias("tbl"), key.alias("pk"), "col_name", "col_value", "col_version", "db_version", F.unhex(F.lpad(F.hex("site_id"), 32, "0")).alias("site_id"), "cl", "seq")
 
 

@@ -50,20 +50,35 @@ def double_bits(d: Column) -> Column:
     return F.when(F.isnan(d) | (d == float("inf")), infinite).when(d == 0, F.lit(0)).when(d < 2.2250738585072014e-308, tiny).otherwise(normal)
 
 
+def _integer(i: Column) -> Column:
+    return F.when(i == INT64_MIN, F.lit("06")).when(i < 0, _sized(TAG_NEGATIVE_INT, -i)).otherwise(_sized(TAG_INT, i))
+
+
+def _float(d: Column) -> Column:
+    return F.concat(F.when(d < 0, F.lit("07")).otherwise(F.lit("02")), F.lpad(F.hex(double_bits(F.abs(d))), 16, "0"))
+
+
+def _text(s: Column) -> Column:
+    return F.concat(_sized(TAG_TEXT, F.octet_length(s).cast("bigint")), F.hex(F.encode(s, "UTF-8")))
+
+
+def _blob(b: Column) -> Column:
+    return F.concat(_sized(TAG_BLOB, F.octet_length(b).cast("bigint")), F.hex(b))
+
+
 def encoded(value: Column) -> Column:
     """Hex of one VALUE's encoding."""
-    i, d, s, b = (value[k] for k in "idsb")
-    integer = F.when(i == INT64_MIN, F.lit("06")).when(i < 0, _sized(TAG_NEGATIVE_INT, -i)).otherwise(_sized(TAG_INT, i))
-    double = F.concat(F.when(d < 0, F.lit("07")).otherwise(F.lit("02")), F.lpad(F.hex(double_bits(F.abs(d))), 16, "0"))
-    text = F.concat(_sized(TAG_TEXT, F.octet_length(s).cast("bigint")), F.hex(F.encode(s, "UTF-8")))
-    blob = F.concat(_sized(TAG_BLOB, F.octet_length(b).cast("bigint")), F.hex(b))
     r = value["r"]
-    return F.when(r == V.INTEGER, integer).when(r == V.FLOAT, double).when(r == V.TEXT, text).when(r == V.BLOB, blob).otherwise(F.lit("05"))
+    return F.when(r == V.INTEGER, _integer(value["i"])).when(r == V.FLOAT, _float(value["d"])).when(r == V.TEXT, _text(value["s"])).when(r == V.BLOB, _blob(value["b"])).otherwise(F.lit("05"))
 
 
-def encode_row(row: list[Column]) -> Column:
-    """Binary of VALUEs one after another, without a count."""
-    return F.unhex(F.concat(*(encoded(v) for v in row)))
+def encoded_as(column: Column, kind: T.DataType) -> Column:
+    """Hex of a column's encoding, the same as of its VALUE; only its own storage class is in the expression, so it compiles to little code."""
+    held = {V.INTEGER: lambda c: _integer(c.cast("bigint")), V.FLOAT: lambda c: _float(c.cast("double")), V.TEXT: lambda c: _text(c.cast("string")), V.BLOB: _blob}
+    rank = V.storage_class(kind)
+    if rank == V.NULL or isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return encoded(V.to_value(column, kind))
+    return F.when(column.isNull(), F.lit("05")).otherwise(held[rank](column))
 
 
 def encode_key(key: list[Column]) -> Column:
@@ -73,6 +88,48 @@ def encode_key(key: list[Column]) -> Column:
     return F.unhex(F.concat(F.lit(f"{len(key):02X}"), *(encoded(v) for v in key)))
 
 
+def _sized_bytes(tag: int, n: int) -> bytes:
+    width = n.bit_length() // 8 + 1
+    return bytes((tag | width << 3,)) + n.to_bytes(width, "big")
+
+
+def integer_bytes(i: int) -> bytes:
+    if i == INT64_MIN:
+        return bytes((TAG_INT_MIN,))
+    return _sized_bytes(TAG_NEGATIVE_INT, -i) if i < 0 else _sized_bytes(TAG_INT, i)
+
+
+def float_bytes(d: float) -> bytes:
+    return bytes((TAG_NEGATIVE_FLOAT if d < 0 else TAG_FLOAT,)) + _DOUBLE.pack(abs(d))
+
+
+def text_bytes(s: str) -> bytes:
+    raw = s.encode()
+    return _sized_bytes(TAG_TEXT, len(raw)) + raw
+
+
+def blob_bytes(b: bytes) -> bytes:
+    return _sized_bytes(TAG_BLOB, len(b)) + b
+
+
+_OF_CLASS = {"i": integer_bytes, "d": float_bytes, "s": text_bytes, "b": blob_bytes}
+NULL_BYTES = bytes((TAG_NULL,))
+
+
+def encoded_column(column: pa.Array) -> list[bytes]:
+    """The encoding of each of a column's values, or VALUEs; each distinct value is encoded once."""
+    if pa.types.is_struct(column.type):
+        ranks = column.field("r").to_pylist()
+        parts = {r: encoded_column(column.field(k)) for r, k in ((V.INTEGER, "i"), (V.FLOAT, "d"), (V.TEXT, "s"), (V.BLOB, "b")) if r in ranks}
+        return [parts[r][n] if r in parts else NULL_BYTES for n, r in enumerate(ranks)]
+    kind = "i" if pa.types.is_integer(column.type) else "d" if pa.types.is_floating(column.type) else "b" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "s"
+    if kind == "d":  # 0.0 and -0.0 are equal, but not as bytes
+        return [NULL_BYTES if d is None else float_bytes(d) for d in column.to_pylist()]
+    values, of = column.to_pylist(), _OF_CLASS[kind]
+    made = {v: of(v) for v in set(values) if v is not None} | {None: NULL_BYTES}
+    return [made[v] for v in values]
+
+
 class Decoded:
     """Decoded values one after another, as the columns of VALUE."""
 
@@ -161,6 +218,13 @@ def decoded_key(keys: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), out.every(), mask=pa.array([not x for x in right]))
 
 
+def key_of(columns: list[tuple[Column, T.DataType]]) -> Column:
+    """Binary of the key that some columns make up; the same as encode_key() of their VALUEs."""
+    if not 1 <= len(columns) <= MAX_KEY_VALUES:
+        raise CodecError(f"a key has 1 to {MAX_KEY_VALUES} values, not {len(columns)}")
+    return F.unhex(F.concat(F.lit(f"{len(columns):02X}"), *(encoded_as(c, kind) for c, kind in columns)))
+
+
 def key_value(key: Column, n: int) -> Column:
     """The n-th value of a key, from 1; null beyond its last."""
     return F.get(decoded_key(key), n - 1)

@@ -209,7 +209,7 @@ class Replica:
         found = None
         for n in names or self._state["tables"]:
             spec = self.spec(n)
-            pk = codec.encode_key([V.to_value(F.col(f"`{k}`"), spec.kind(k)) for k in spec.key])
+            pk = codec.key_of([(F.col(f"`{k}`"), spec.kind(k)) for k in spec.key])
             one = self.logical_changes(n).select(F.lit(spec.name).alias("tbl"), pk.alias("pk"), "col_name", "col_value", "col_version", "db_version", "site_id", "cl", "seq")
             found = one if found is None else found.unionByName(one)
         return self.spark.createDataFrame([], CHANGES) if found is None else found

@@ -1,6 +1,6 @@
 """Payloads: changes in a compact binary form with a header, made and read by partitions.
 
-Rows are encoded by expressions; Python only joins and compresses a partition's rows, or splits a payload into rows.
+A partition's rows are encoded column by column of an Arrow batch, joined and compressed; payloads are decoded into columns again.
 """
 
 from __future__ import annotations
@@ -58,9 +58,8 @@ def encode(changes: DataFrame, schema_hash: int = 0, compress: bool = True, rows
     ends at ``rows`` rows or ``most_bytes`` bytes, whichever comes first. No changes, no payloads.
     """
     kinds = {f.name: f.dataType for f in CHANGES}
-    row = codec.encode_row([F.col("col_value") if c == "col_value" else V.to_value(F.col(c), kinds[c]) for c in CHANGES.names])
     n = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = changes.select(*(F.col(c).cast(kinds[c]) if c != "col_value" else F.col(c) for c in CHANGES.names)).repartitionByRange(n, "db_version", "seq").sortWithinPartitions("db_version", "seq").select(row.alias("row"), "db_version", "seq")
+    dealt = changes.select(*(F.col(c).cast(kinds[c]) if c != "col_value" else F.col(c) for c in CHANGES.names)).repartitionByRange(n, "db_version", "seq").sortWithinPartitions("db_version", "seq")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -71,7 +70,8 @@ def encode(changes: DataFrame, schema_hash: int = 0, compress: bool = True, rows
             return pa.RecordBatch.from_pylist([{"payload": made, "n_rows": len(held), "db_version": last[0], "seq": last[1]}], pa.schema([("payload", pa.binary()), ("n_rows", pa.int64()), ("db_version", pa.int64()), ("seq", pa.int64())]))
 
         for batch in batches:
-            for row, version, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            encoded = map(b"".join, zip(*(codec.encoded_column(c) for c in batch.columns), strict=True))
+            for row, version, seq in zip(encoded, batch.column("db_version").to_pylist(), batch.column("seq").to_pylist(), strict=True):
                 if held and (len(held) >= rows or size + len(row) > most_bytes):
                     yield out()
                     held.clear()

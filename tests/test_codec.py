@@ -2,6 +2,7 @@ import math
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,11 @@ def test_values_are_encoded_and_decoded(spark):
     for r in df.select("n", key.alias("key"), codec.decoded_key(key).alias("back")).collect():
         assert bytes(r.key) == b"\x02" + expected(many[r.n]) + b"\x05", many[r.n]
         assert [tuple(x) for x in r.back] == [as_value(many[r.n]), as_value(None)]
+    for kind, spark_kind, values in ((pa.int64(), T.LongType(), INTS), (pa.float64(), T.DoubleType(), [*FLOATS, -0.0]), (pa.string(), T.StringType(), TEXTS), (pa.binary(), T.BinaryType(), BLOBS)):
+        assert codec.encoded_column(pa.array([*values, None, values[0]], kind)) == [expected(v) for v in [*values, None, values[0]]]
+        table = spark.createDataFrame([(v,) for v in [*values, None]], T.StructType([T.StructField("v", spark_kind)]))
+        same = table.select(codec.key_of([(F.col("v"), spark_kind)]).alias("a"), codec.encode_key([V.to_value(F.col("v"), spark_kind)]).alias("b")).collect()
+        assert all(r.a == r.b for r in same) and len(same) == len(values) + 1
 
 
 def test_broken_keys_are_refused(spark):
