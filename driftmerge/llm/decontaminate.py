@@ -53,6 +53,26 @@ def fingerprints(word_hash: np.ndarray, first: np.ndarray, window: int, gram: in
     return at, g[at]
 
 
+#: Runs of more equal fingerprints than this, one word from the next, come from one word repeated.
+_MANY = 16
+
+
+def thinned(at: np.ndarray, hashes: np.ndarray, step: int) -> np.ndarray:
+    """Which fingerprints, in the order of their places, are worth looking at: of long runs the first and last ones, and every step-th between if step isn't 0.
+
+    A run is one word repeated, more than a window of it. Two such runs match at their aligned ends, which the first and last places
+    find, or somewhere inside, where a place in every step of the one and the first of the other cover all that any two would.
+    """
+    start = np.ones(len(at), bool)
+    start[1:] = (np.diff(at) != 1) | (hashes[1:] != hashes[:-1])
+    run = np.cumsum(start) - 1
+    first = np.flatnonzero(start)
+    size = np.diff(np.append(first, len(at)))
+    nth = np.arange(len(at)) - first[run] if len(at) else at
+    kept = (size[run] <= _MANY) | (nth == 0) | (nth == size[run] - 1)
+    return kept | (nth % step == 0) if step else kept
+
+
 class Index:
     """Fingerprints and words of a block of items."""
 
@@ -62,6 +82,8 @@ class Index:
         self.ids, self.window, self.gram = ids, window, gram
         self.words, self.first = hashed_words(np.frombuffer(b"".join(data), np.uint8), offsets)
         self.at, hashes = fingerprints(self.words, self.first, window, gram)
+        kept = thinned(self.at, hashes, 0)
+        self.at, hashes = self.at[kept], hashes[kept]
         order = np.argsort(hashes, kind="stable")
         self.at, self.hashes = self.at[order], hashes[order]
         self.item = np.searchsorted(self.first, self.at, "right") - 1
@@ -77,6 +99,8 @@ class Index:
         """(start, end, item) of runs of words that an item's windows cover."""
         starts, ends, items = [], [], []
         at, hashes = fingerprints(word_hash, first, self.window, self.gram)
+        kept = thinned(at, hashes, self.window - self.gram + 1)
+        at, hashes = at[kept], hashes[kept]
         low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
         which = np.repeat(np.arange(len(at)), high - low)
         if len(which):
@@ -160,7 +184,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     A document is contaminated if words of items' windows are a twentieth of its words or more. Null or empty texts have no
     words and are clean; items without words match nothing; a null item id counts as the empty string, items with one id as
-    one. An empty table on either side gives clean documents or none. Columns of docs that are named as one made here are
+    one. Words that repeat very often are looked at in a few places of their run only, with the same hits. A very long text is one
+    row's work; rows that repeat stay. An empty table on either side gives clean documents or none. Columns of docs that are named as one made here are
     replaced.
     """
     made = {"n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from driftmerge.llm import chaining, lattice, pieces, quality, queries, sharding, toxicity, webp
 from driftmerge.llm.components import components
-from driftmerge.llm.decontaminate import decontaminate
+from driftmerge.llm.decontaminate import Index, decontaminate, hashed_words
 from driftmerge.llm.media import as_media, media_digest, read_media
 from driftmerge.llm.near_dedup import near_duplicates
 from driftmerge.llm.suffix_dedup import remove_repeats
@@ -91,6 +91,29 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate(empty, bench).count() == 0 and decontaminate(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontaminate_repeated_words(spark):
+    rng = random.Random(5)
+    run = lambda n, w="spam": [w] * n
+    text = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    head, tail = text(9), text(9)
+    rows = [run(300), head + run(40), run(60) + tail, text(20) + run(200) + text(20), run(25) + ["x"] + run(25), run(14), run(12), (["a", "b"] * 60)]
+    items = [run(50), head + run(30) + tail, run(13), run(90) + ["x"], ["b", "a"] * 30, run(12) + text(5)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(str(i), " ".join(t)) for i, t in enumerate(items)], "item_id string, text string")
+    for r in decontaminate(table, bench).collect():
+        w, hit, found = rows[r.doc_id], set(), set()
+        for i, v in enumerate(items):
+            windows = {tuple(v[j : j + 13]) for j in range(len(v) - 12)}
+            for k in range(len(w) - 12):
+                if tuple(w[k : k + 13]) in windows:
+                    hit |= set(range(k, k + 13))
+                    found.add(str(i))
+        assert (r.n_hit, r.items) == (len(hit), sorted(found)), r.doc_id
+    index = Index(["x"], [" ".join(run(5000))], 13, 8)
+    word_hash, first = hashed_words(np.frombuffer(" ".join(run(5000)).encode(), np.uint8), np.array([0, 5 * 5000 - 1]))
+    assert len(index.hits(word_hash, first)[0]) < 5000  # not all places with all places
+
+
 def test_near_duplicates(docs, empty):
     texts = {r.doc_id: words(r.text) for r in docs.collect()}
     sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for d, w in texts.items()}
@@ -137,6 +160,21 @@ def test_allocation_is_the_walk_row_by_row():
         for _, a, b, shard, _ in plan:
             placed[shard] += b - a
         assert sum(placed.values()) == sum(arcs) and all(placed[s] <= room[s] for s in range(4))
+        # Every row by itself: as many as there is room for stay at a point, those that came the shorter way first.
+        left, slots, expected = list(room), Counter(), set()
+        waiting = [(arc, x, arc) for arc, n in enumerate(arcs) for x in range(n)]
+        while waiting:
+            rest = []
+            for arc, x, at in sorted(waiting, key=lambda w: (w[2], (w[2] - w[0]) % len(points), w[1])):
+                shard = points[at][1]
+                if left[shard]:
+                    left[shard] -= 1
+                    expected.add((arc, x, shard, slots[shard]))
+                    slots[shard] += 1
+                else:
+                    rest.append((arc, x, at))
+            waiting = [(arc, x, (at + next(i for i in range(1, len(points) + 1) if left[points[(at + i) % len(points)][1]])) % len(points)) for arc, x, at in rest]
+        assert {(arc, x, shard, base + x - f) for arc, f, t, shard, base in plan for x in range(f, t)} == expected
         for arc, n in enumerate(arcs):
             assert sorted(x for a, f, t, *_ in plan if a == arc for x in range(f, t)) == list(range(n))
 
@@ -199,6 +237,23 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(empty, toxicity.learn(empty.select("doc_id", "text"), table.select("doc_id", "toxic"))).count() == 0
 
 
+def test_held_out_labels(spark):
+    """Toxicity and quality on the labelled documents of a table."""
+    path = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    table = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").join(labels, "doc_id")
+    out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.learn(table.where(~out), labels.where(~out))
+    rows = toxicity.toxicity(table.where(out), model).collect()
+    bad, good = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
+    auc = sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good))
+    right = sum(r.predicted == r.toxic for r in rows) / len(rows)
+    judged = quality.judged(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")).select("doc_id", "kept").join(labels, "doc_id").collect()
+    kept = [sum(r.kept for r in judged if r.quality == q) / sum(r.quality == q for r in judged) for q in (0, 1)]
+    print(f"toxic: AUC {auc:.3f}, right {right:.3f} of {len(rows)}; kept of bad {kept[0]:.3f}, of good {kept[1]:.3f}")
+    assert auc > 0.92 and right > 0.95 and kept[0] < 0.05 and kept[1] > 0.99
+
+
 def test_toxicity_keeps_the_share_of_labels(spark, monkeypatch):
     rng = random.Random(9)
     say = lambda odd: " ".join(rng.choice(["plain", "words", "here", "and", "there", "nothing", "else"]) for _ in range(40)) + (" maybeterm" if odd else "")
