@@ -216,8 +216,9 @@ def _score(model: Model):
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1, higher: toxic likelier) and predicted (1 from 0.5 on, else 0).
 
-    Only the text counts. Null, empty and wordless texts get the score of a text without any evidence. Columns of docs that are
-    named as one of the two are replaced; an empty table gives an empty result.
+    Only the text counts, so rows that repeat have equal scores; a very long text is one row's work. Null, empty and wordless texts
+    get the score of a text without any evidence. Columns of docs that are named as one of the two are replaced; an empty table
+    gives an empty result.
     """
     rows = packed(docs, text_col)
     out = rows.mapInArrow(_score(model), f"_row {rows.schema['_row'].dataType.simpleString()}, _text string, score double")
