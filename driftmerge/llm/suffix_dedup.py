@@ -18,6 +18,7 @@ are only gathered below the limit. Equality of contexts is by 64-bit hashes with
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from driftmerge.llm.common import Rolling, buffers, chunks, join_hot, mix, packe
 MIN_LEN = 400
 BUCKET_LIMIT = 512
 _SUFFIXES = 60_000
+_CONTEXT = ("gram", "kind", "rel", "left", "context")
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, min_len: int):
@@ -157,6 +159,26 @@ def suffix_array(contexts: list[bytes], bucket: np.ndarray, rel: np.ndarray, lef
     return of, start, before, lcp
 
 
+def _by_bucket(solve, min_len: int):
+    """A function on batches that hands solve the rows of whole buckets, some _SUFFIXES suffixes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size, last = 0, None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != last and size >= _SUFFIXES:  # whole buckets only
+                    yield solve(rows)
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[4]) - min_len + 1
+                last = row[0]
+        if rows:
+            yield solve(rows)
+
+    return run
+
+
 def _scan_buckets(min_len: int):
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         gram, kind, rel, left, contexts = zip(*rows, strict=True)
@@ -178,30 +200,37 @@ def _scan_buckets(min_len: int):
         rel = np.array(rel)
         return pa.RecordBatch.from_arrays([pa.array(np.array(gram)[of]), pa.array(np.array(kind)[of]), pa.array((rel[of] + begin).astype(np.int32)), pa.array((rel[of] + end).astype(np.int32))], ["gram", "kind", "from", "to"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size, last = 0, None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != last and size >= _SUFFIXES:  # whole buckets only
-                    yield solve(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[4]) - min_len + 1
-                last = row[0]
-        if rows:
-            yield solve(rows)
+    return _by_bucket(solve, min_len)
 
-    return run
+
+def _scan_groups(min_len: int):
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        gram, kind, rel, left, contexts, many = zip(*rows, strict=True)
+        gram, kind, rel, many = np.array(gram), np.array(kind), np.array(rel), np.array(many)
+        _, bucket = np.unique(gram, return_inverse=True)
+        of, start, before, lcp = suffix_array(list(contexts), bucket, rel, np.array(left), min_len)
+        rest = np.array([len(c) for c in contexts])[of] - start
+        beside = np.maximum(np.append(lcp, 0), np.insert(lcp, 0, 0))
+        # A whole context that several texts have is a repeat too, unless it is in an interval of its length.
+        alone = np.flatnonzero((start == 0) & many[of] & (beside < rest))
+        found = [*interval_tree(lcp, before, min_len), *zip(rest[alone].tolist(), alone.tolist(), alone.tolist(), strict=True)]
+        height, first, last = np.array(found, np.int64).reshape(-1, 3).T
+        name = [int.from_bytes(md5(contexts[of[i]][start[i] : start[i] + n]).digest()[:8], "big", signed=True) for n, i in zip(height.tolist(), first.tolist(), strict=True)]
+        size = last - first + 1
+        member = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+        at = (rel[of] + start)[member].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(gram[of][member]), pa.array(kind[of][member]), pa.array(np.repeat(np.array(name, np.int64), size)), pa.array(np.repeat(height, size)), pa.array(at)], ["gram", "kind", "group", "n_bytes", "at"])
+
+    return _by_bucket(solve, min_len)
 
 
 def _hash_windows(min_len: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for gram, kind, rel, _, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for gram, kind, rel, _, context, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 window = Rolling(np.frombuffer(context, np.uint8)).grams(min_len)
                 n = len(window)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gram)), pa.array(np.full(n, kind)), pa.array(np.arange(rel, rel + n, dtype=np.int32)), pa.array(window.view(np.int64))], ["gram", "kind", "at", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gram)), pa.array(np.full(n, kind)), pa.array(np.arange(rel, rel + n, dtype=np.int32)), pa.array(window.view(np.int64)), pa.array(np.full(n, many))], ["gram", "kind", "at", "window", "many"])
 
     return run
 
@@ -228,40 +257,79 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_text"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["_row", "_text", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def repeat_spans(texts: DataFrame, min_len: int = MIN_LEN, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """(key, places, ends): byte ranges of each text that windows of min_len bytes starting elsewhere too cover; texts has _key and _text.
-
-    From each place on, the ranges are those of ends (from, to; they may begin before the place). One set of rows for equal texts
-    (they have one key). Ranges may overlap.
-    """
+def _kinds(texts: DataFrame, min_len: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Anchors whose k-gram repeats, one row for a text's anchors of one kind; the kinds under mixed k-grams; a context of each, with its bucket's number of kinds n."""
     anchors = stage(texts.mapInArrow(_find_anchors(min_len), "gram long, kind long, key binary, before int, after int, places array<int>"))
     size = F.size("places")
     grams = stage(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("places"), (F.min("kind") != F.max("kind")).alias("mixed")).where("places > 1").select("gram", "n", "mixed"))
     repeated = join_hot(anchors, grams, ["gram"]).groupBy("gram", "kind", "key", "mixed")
     repeated = stage(repeated.agg(F.first("before").alias("before"), F.first("after").alias("after"), F.first("places").alias("places"), F.count(F.lit(1)).alias("copies")))
-    all_of = lambda before, after: F.array(F.struct((-F.col(before)).alias("from"), (F.col(after) + min_len).alias("to")))
-    whole = repeated.where("not mixed").select("key", "places", all_of("before", "after").alias("ends"))
 
-    mixed = repeated.where("mixed")
     one = F.min(F.struct("key", F.get("places", F.lit(0)).alias("a"), "before", "after"))
-    kinds = stage(mixed.groupBy("gram", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(size * F.col("copies")).alias("of_kind"), one.alias("one")))
+    kinds = stage(repeated.where("mixed").groupBy("gram", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(size * F.col("copies")).alias("of_kind"), one.alias("one")))
     wanted = F.struct("gram", "kind", "one.a", (F.col("one.a") - F.col("one.before")).alias("first"), (F.col("one.a") + F.col("one.after")).alias("last"))
     wanted = kinds.select("one.key", wanted.alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted"))
     contexts = texts.join(wanted, F.col("_key") == F.col("key")).select("_text", "wanted").mapInArrow(_cut_contexts(min_len), "gram long, kind long, rel int, left int, context binary")
     contexts = stage(contexts.groupBy("gram", "kind").agg(F.first("rel").alias("rel"), F.first("left").alias("left"), F.first("context").alias("context")))
     crowd = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    contexts = join_hot(contexts, stage(crowd), ["gram"])
-    columns = ["gram", "kind", "rel", "left", "context"]
-    small = contexts.where(F.col("n") <= bucket_limit).select(columns)
+    return repeated, kinds, join_hot(contexts, stage(crowd), ["gram"])
+
+
+def _counted(crowded: DataFrame, min_len: int) -> DataFrame:
+    """(gram, kind, at, window): windows that several kinds of one bucket have at the same place from the anchor on, or one that is marked many."""
+    windows = stage(crowded.mapInArrow(_hash_windows(min_len), "gram long, kind long, at int, window long, many boolean"))
+    again = stage(windows.groupBy("gram", "at", "window").agg(F.count(F.lit(1)).alias("n"), F.bool_or("many").alias("many")).where("n > 1 or many").drop("many"))
+    return join_hot(windows, again, ["gram", "at", "window"])
+
+
+def repeat_spans(texts: DataFrame, min_len: int = MIN_LEN, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """(key, places, ends): byte ranges of each text that windows of min_len bytes starting elsewhere too cover; texts has _key and _text.
+
+    From each place on, the ranges are those of ends (from, to; they may begin before the place). One set of rows for equal texts
+    (they have one key). Ranges may overlap.
+    """
+    repeated, kinds, contexts = _kinds(texts, min_len)
+    all_of = lambda before, after: F.array(F.struct((-F.col(before)).alias("from"), (F.col(after) + min_len).alias("to")))
+    whole = repeated.where("not mixed").select("key", "places", all_of("before", "after").alias("ends"))
+
+    small = contexts.where(F.col("n") <= bucket_limit).select(*_CONTEXT)
     scanned = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_scan_buckets(min_len), "gram long, kind long, from int, to int")
-    windows = stage(contexts.where(F.col("n") > bucket_limit).select(columns).mapInArrow(_hash_windows(min_len), "gram long, kind long, at int, window long"))
-    again = stage(windows.groupBy("gram", "at", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    counted = join_hot(windows, again, ["gram", "at", "window"]).select("gram", "kind", F.col("at").alias("from"), (F.col("at") + min_len).alias("to"))
+    counted = _counted(contexts.where(F.col("n") > bucket_limit).select(*_CONTEXT, F.lit(False).alias("many")), min_len).select("gram", "kind", F.col("at").alias("from"), (F.col("at") + min_len).alias("to"))
     ends = scanned.unionByName(counted).groupBy("gram", "kind").agg(F.collect_list(F.struct("from", "to")).alias("ends"))
 
     # Of each kind what repeats, from its anchor on: all of it if several anchors have it, else what the scan has found.
     decided = kinds.join(ends, ["gram", "kind"], "left").select("gram", "kind", "n", F.when(F.col("of_kind") > 1, all_of("one.before", "one.after")).otherwise(F.col("ends")).alias("ends")).where("ends is not null")
-    return whole.unionByName(join_hot(mixed, stage(decided), ["gram", "kind"]).select("key", "places", "ends"))
+    return whole.unionByName(join_hot(repeated.where("mixed"), stage(decided), ["gram", "kind"]).select("key", "places", "ends"))
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """(group, n_bytes, id_col, start): each maximal repeat of min_len bytes or more with all its occurrences, a row for each.
+
+    A group is a byte string, n_bytes long, that begins at byte start of each of its rows, and nowhere else in docs. It is maximal
+    within its anchor's context, the windows that one anchor owns (up to about twice min_len bytes): a longer repeat is a chain of
+    groups in which the next begins one byte after the last window of the one before. Strings that other strings with the same
+    occurrences contain aren't groups. In a bucket of more than bucket_limit kinds each group is a single window.
+
+    Rows that are copies of each other, repeated ids included, are different occurrences (rows of one id repeat then). Null and
+    empty texts, and an empty table, have no groups. Very long texts are one row's work. Columns but the two named are ignored.
+    """
+    rows = packed(docs.select(id_col, text_col), text_col).withColumn("_key", F.unhex(F.md5(F.coalesce("_text", F.lit("")))))
+    repeated, kinds, contexts = _kinds(rows.select("_key", "_text"), min_len)
+    group = lambda name, n_bytes, at: F.struct(F.expr(name).alias("group"), F.expr(n_bytes).cast("bigint").alias("n_bytes"), F.expr(at).cast("int").alias("at"))
+    whole = repeated.where("not mixed").select("key", "places", F.array(group("kind", f"before + after + {min_len}", "-before")).alias("groups"))
+
+    contexts = contexts.join(kinds.select("gram", "kind", (F.col("of_kind") > 1).alias("many")), ["gram", "kind"])
+    small = contexts.where(F.col("n") <= bucket_limit).select(*_CONTEXT, "many")
+    scanned = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_scan_groups(min_len), "gram long, kind long, group long, n_bytes long, at int")
+    counted = _counted(contexts.where(F.col("n") > bucket_limit).select(*_CONTEXT, "many"), min_len).select("gram", "kind", group("xxhash64(gram, at, window)", str(min_len), "at").alias("g"))
+    found = scanned.select("gram", "kind", group("group", "n_bytes", "at").alias("g")).unionByName(counted)
+    groups = found.groupBy("gram", "kind").agg(F.collect_list("g").alias("groups")).join(kinds.select("gram", "kind", "n"), ["gram", "kind"])
+    members = join_hot(repeated.where("mixed"), stage(groups), ["gram", "kind"]).select("key", "places", "groups")
+
+    members = whole.unionByName(members).groupBy("key").agg(F.collect_list(F.struct("places", "groups")).alias("found"))
+    each = rows.join(members, F.col("_key") == F.col("key")).select(F.col(f"_row.{id_col}").alias(id_col), F.explode("found").alias("f"))
+    each = each.select(id_col, F.col("f.places").alias("places"), F.explode("f.groups").alias("g")).select(id_col, "g", F.explode("places").alias("place"))
+    return each.select("g.group", "g.n_bytes", id_col, (F.col("place") + F.col("g.at")).cast("bigint").alias("start"))
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", min_len: int = MIN_LEN, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:

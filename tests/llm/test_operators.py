@@ -18,7 +18,7 @@ from driftmerge.llm.components import components
 from driftmerge.llm.decontaminate import Index, decontaminate, hashed_words
 from driftmerge.llm.media import as_media, media_digest, read_media
 from driftmerge.llm.near_dedup import near_duplicates
-from driftmerge.llm.suffix_dedup import remove_repeats
+from driftmerge.llm.suffix_dedup import remove_repeats, repeat_groups
 from tests.compare import SF, assert_same
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -69,6 +69,35 @@ def test_remove_repeats(docs, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def test_repeat_groups(docs, empty):
+    texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    for least, limit in ((400, 512), (400, 2), (30, 512)):
+        covered: dict[int, set[int]] = {}
+        seen = Counter(t[i : i + least] for _, t in texts for i in range(len(t) - least + 1))
+        for doc, t in texts:
+            covered[doc] = {k for i in range(len(t) - least + 1) if seen[t[i : i + least]] > 1 for k in range(i, i + least)}
+        text_of, groups = dict(texts), {}
+        for r in repeat_groups(docs, min_len=least, bucket_limit=limit).collect():
+            groups.setdefault((r.group, r.n_bytes), Counter())[r.doc_id, r.start] += 1
+        strings = set()
+        for (_, n), places in groups.items():
+            doc, start = next(iter(places))
+            string = text_of[doc][start : start + n]
+            assert len(string) == n >= least and string not in strings
+            strings.add(string)
+            everywhere = Counter()  # repeated rows are occurrences of their own
+            for doc, t in texts:
+                start = t.find(string)
+                while start >= 0:
+                    everywhere[doc, start] += 1
+                    start = t.find(string, start + 1)
+            assert places == everywhere and sum(places.values()) > 1, (least, limit)
+        for doc, expected in covered.items():
+            got = {k for (_, n), places in groups.items() for d, start in places if d == doc for k in range(start, start + n)}
+            assert got == expected, (least, limit, doc)
+    assert repeat_groups(empty).count() == 0
+
+
 def test_decontaminate(spark, docs, empty):
     rows = {r.doc_id: r.text for r in docs.collect()}
     items = [("a", " ".join(words(rows[5])[10:40])), ("b", "one"), ("c", None), ("d", ""), ("e", "no such words at all"), ("a2", rows[10]), (None, "same same")]
