@@ -9,7 +9,9 @@ A repeat of ``min_len`` bytes or more is found where both copies hold it in full
 3. The rest are the ends of repeats. One context of each kind goes to the k-gram's bucket, where the suffixes that start owned
    windows are sorted into an array with common-prefix lengths. A stack scan builds the interval tree; each interval of
    min_len or more whose left neighbours differ is a maximal repeat, reported for all its occurrences.
-4. A bucket of more than ``bucket_limit`` kinds is not gathered: its windows are counted by hash, with partial sums.
+4. A bucket of more than ``bucket_limit`` kinds is not gathered: its windows are counted by hash, with partial sums, block by block.
+   What all windows of a block have in common decides that none repeats, all that they cover together that each does; only blocks
+   in between are looked at in smaller ones.
 
 Every key is spread by hash; k-grams and kinds that very many texts have are joined by broadcast, at most HOT of them, and groups
 are only gathered below the limit. Equality of contexts is by 64-bit hashes within one k-gram's bucket.
@@ -18,6 +20,7 @@ are only gathered below the limit. Equality of contexts is by 64-bit hashes with
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import md5
 
 import numpy as np
@@ -29,6 +32,8 @@ from driftmerge.llm.common import Rolling, buffers, chunks, join_hot, mix, packe
 
 MIN_LEN = 400
 BUCKET_LIMIT = 512
+#: Windows in a block of a crowded bucket, from level to level.
+BLOCKS = (16, 4, 1)
 _SUFFIXES = 60_000
 _CONTEXT = ("gram", "kind", "rel", "left", "context")
 
@@ -235,6 +240,38 @@ def _hash_windows(min_len: int):
     return run
 
 
+def _hash_blocks(min_len: int, size: int, before: int):
+    """Blocks of ``size`` windows, aligned by the anchor, within those of ``before`` windows that are named (null: all there are).
+
+    inner is the hash of the bytes that all windows of a block have; outer of those they cover, null if the context has not all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, begin, inner, outer, whole = [], [], [], [], []
+            for i, (rel, context, blocks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rel", "context", "blocks")), strict=True)):
+                last = rel + len(context) - min_len
+                if blocks is None:
+                    at = np.arange(rel // size * size, last + 1, size)
+                else:
+                    at = (np.array(blocks)[:, None] + np.arange(0, before, size)).ravel()
+                    at = at[(at + size > rel) & (at <= last)]
+                roll = Rolling(np.frombuffer(context, np.uint8))
+                full = (at >= rel) & (at + size - 1 <= last)
+                here = np.where(full, at, rel) - rel
+                of.append(np.full(len(at), i))
+                begin.append(at)
+                inner.append(roll.ranges(at - rel + size - 1, at - rel + min_len))
+                outer.append(roll.ranges(here, np.where(full, here + size - 1 + min_len, here)))
+                whole.append(full)
+            if of:
+                of, begin, inner, outer, whole = (np.concatenate(x) for x in (of, begin, inner, outer, whole))
+                made = [pa.array(begin.astype(np.int32)), pa.array(inner.view(np.int64)), pa.array(outer.view(np.int64), mask=~whole)]
+                yield pa.RecordBatch.from_arrays([batch.column("gram").take(pa.array(of)), batch.column("kind").take(pa.array(of)), *made], ["gram", "kind", "at", "inner", "outer"])
+
+    return run
+
+
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffers(batch.column("_text"))
@@ -282,6 +319,27 @@ def _counted(crowded: DataFrame, min_len: int) -> DataFrame:
     return join_hot(windows, again, ["gram", "at", "window"])
 
 
+def _counted_spans(crowded: DataFrame, min_len: int) -> DataFrame:
+    """(gram, kind, from, to): ranges of the windows that several kinds of one bucket have at the same place from the anchor on."""
+    crowded = stage(crowded)
+    if crowded.isEmpty():
+        return crowded.select("gram", "kind", F.col("rel").alias("from"), F.col("rel").alias("to"))
+    again = lambda rows, key: stage(rows.groupBy("gram", "at", key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    named, before, spans = crowded.select("*", F.lit(None).cast("array<int>").alias("blocks")), 0, []
+    for size in (s for s in BLOCKS if s <= min_len):
+        blocks = stage(named.select("gram", "kind", "rel", "context", "blocks").mapInArrow(_hash_blocks(min_len, size, before), "gram long, kind long, at int, inner long, outer long"))
+        found = join_hot(blocks, again(blocks, "inner"), ["gram", "at", "inner"]).drop("n")
+        if size > 1:
+            some = stage(found)
+            found = stage(join_hot(some, again(some.where("outer is not null"), "outer"), ["gram", "at", "outer"]).drop("n"))
+            # Of the kinds whose whole block repeats one goes on, as others may share some of its windows only.
+            one = found.groupBy("gram", "at", "outer").agg(F.min("kind").alias("kind"))
+            rest = some.join(found.select("gram", "kind", "at"), ["gram", "kind", "at"], "left_anti").select("gram", "kind", "at").unionByName(one.select("gram", "kind", "at"))
+            named, before = crowded.join(rest.groupBy("gram", "kind").agg(F.collect_list("at").alias("blocks")), ["gram", "kind"]), size
+        spans.append(found.select("gram", "kind", F.col("at").alias("from"), (F.col("at") + (size - 1 + min_len)).alias("to")))
+    return reduce(DataFrame.unionByName, spans)
+
+
 def repeat_spans(texts: DataFrame, min_len: int = MIN_LEN, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(key, places, ends): byte ranges of each text that windows of min_len bytes starting elsewhere too cover; texts has _key and _text.
 
@@ -294,7 +352,7 @@ def repeat_spans(texts: DataFrame, min_len: int = MIN_LEN, bucket_limit: int = B
 
     small = contexts.where(F.col("n") <= bucket_limit).select(*_CONTEXT)
     scanned = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_scan_buckets(min_len), "gram long, kind long, from int, to int")
-    counted = _counted(contexts.where(F.col("n") > bucket_limit).select(*_CONTEXT, F.lit(False).alias("many")), min_len).select("gram", "kind", F.col("at").alias("from"), (F.col("at") + min_len).alias("to"))
+    counted = _counted_spans(contexts.where(F.col("n") > bucket_limit).select(*_CONTEXT), min_len)
     ends = scanned.unionByName(counted).groupBy("gram", "kind").agg(F.collect_list(F.struct("from", "to")).alias("ends"))
 
     # Of each kind what repeats, from its anchor on: all of it if several anchors have it, else what the scan has found.

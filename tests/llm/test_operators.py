@@ -69,6 +69,25 @@ def test_remove_repeats(docs, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def test_remove_repeats_in_a_crowd(spark):
+    """Hundreds of near copies in one bucket, cut short and changed in places of their own or in common ones, against brute force."""
+    rng = random.Random(3)
+    base = bytes(rng.choice(b"abcdefgh ") for _ in range(240))
+    texts = []
+    for i in range(240):
+        t = bytearray(base)
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(240)] = 48 + rng.choice((i % 7, rng.randrange(70)))
+        texts.append(bytes(t[rng.randrange(30) : 240 - rng.randrange(30)]))
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    for least in (100, 33):
+        seen = Counter(t[i : i + least] for t in texts for i in range(len(t) - least + 1))
+        gone = [{k for i in range(len(t) - least + 1) if seen[t[i : i + least]] > 1 for k in range(i, i + least)} for t in texts]
+        expected = {i: bytes(b for k, b in enumerate(t) if k not in gone[i]) for i, t in enumerate(texts)}
+        for limit in (10_000, 8):
+            assert {r.doc_id: bytes(r.kept) for r in remove_repeats(docs, min_len=least, bucket_limit=limit).collect()} == expected, (least, limit)
+
+
 def test_repeat_groups(docs, empty):
     texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     for least, limit in ((400, 512), (400, 2), (30, 512)):
