@@ -39,11 +39,38 @@ def merged(changes: DataFrame, key: list[str], columns: list[str], algo: Algo =
     of = lambda name: F.max(F.when(F.col("col_name") == name, _rank(algo.grow_only)))
     cl = F.lit(1).cast("bigint") if algo.grow_only else F.max("cl")
     best = _with_local(changes).groupBy(*key).agg(cl.alias("cl"), of(TOMBSTONE).alias("sentinel"), *(of(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    return _held(best, key, columns)
+
+
+def _held(best: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """What merged() gives, of the greatest changes (sentinel, c0, c1 ...) and the causal length of each key."""
     alive = F.col("cl") % 2 == 1
     held = lambda name: F.when(F.col(name)["cl"] == F.col("cl"), F.col(name))
     return best.select(*key, "cl", held("sentinel").alias("sentinel"), *(F.when(alive, held(f"c{i}")).alias(c) for i, c in enumerate(columns)))
 
 
+def merged_rows(changes: DataFrame, key: list[str], columns: dict) -> DataFrame:
+    """The same as merged() of row changes: rows that write all of ``columns`` (name to Spark type) at once.
+
+    Such a row has the key, the columns' values as they are, and one stamp (col_version, db_version, site_id, cl, seq) for all of
+    them. Values of one type are ordered as their VALUEs are, null first, so maxima are taken of the values themselves and become
+    VALUEs afterwards. What is sorted before the shuffle is one narrow row for a row written, instead of a change for each column.
+    """
+    stamp = ("is_local", "site_id", "db_version", "seq")
+    of = lambda c: F.max(F.struct("cl", "col_version", F.col(f"`{c}`").alias("v"), *stamp))
+    best = _with_local(changes).groupBy(*key).agg(F.max("cl").alias("cl"), *(of(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    found = [F.struct(F.col(f"c{i}.cl").alias("cl"), F.col(f"c{i}.col_version").alias("col_version"), V.to_value(F.col(f"c{i}.v"), kind).alias("col_value"), *(F.col(f"c{i}.{x}").alias(x) for x in stamp)) for i, kind in enumerate(columns.values())]
+    none = F.lit(None).cast(f"struct<cl: bigint, col_version: bigint, col_value: {V.VALUE.simpleString()}, is_local: boolean, site_id: {dict(changes.dtypes)['site_id']}, db_version: bigint, seq: bigint>")
+    return _held(best.select(*key, "cl", none.alias("sentinel"), *(x.alias(f"c{i}") for i, x in enumerate(found))), key, list(columns))
+
+
+def row_cells(changes: DataFrame, key: list[str], columns: dict) -> DataFrame:
+    """The changes that row changes stand for, one for each row and column."""
+    made = F.array(*(F.struct(F.lit(c).alias("col_name"), V.to_value(F.col(f"`{c}`"), kind).alias("col_value")) for c, kind in columns.items()))
+    stamp = [c for c in CHANGE if c not in ("col_name", "col_value")]
+    return changes.select(*key, *stamp, F.explode(made).alias("x")).select(*key, "x.*", *stamp).select(*key, *CHANGE)
+
+
 def rows(state: DataFrame, key: list[str], columns: dict, defaults: dict | None = None) -> DataFrame:
     """The table that merged() stands for: alive rows, columns (name to Spark type) with defaults where nothing was written."""
     made = []
@@ -102,13 +129,40 @@ def upserted(base: DataFrame, local: DataFrame, won: DataFrame, key: list[str],
 
 def rejected(changes: DataFrame, key: list[str], columns: list[str], algo: Algo = Algo.CLS) -> DataFrame:
     """The changes that lose: to a greater causal length, or to another change of their cell. Copies of a winner don't lose."""
-    won = cells(merged(changes, key, columns, algo), key, columns)
-    same = [*key, "col_name", "col_value", "col_version", "cl"]
+    won = merged(changes, key, columns, algo)
+    return _losing(_with_local(changes), won, key, columns).select(*changes.columns)
+
+
+def _beside(changes: DataFrame, state: DataFrame, key: list[str]) -> DataFrame:
+    """changes with the row of merged() that their key has, as ``won``: one join by key, null keys included."""
+    won = state.select(F.struct(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(key)), *(F.col(f"`{c}`") for c in state.columns if c not in key)).alias("won"))
     match = F.lit(True)
-    left, right = _with_local(changes).alias("l"), won.select(*same).alias("r")
-    for c in same:
-        match = match & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    return left.join(right, match, "left_anti").select(*changes.columns)
+    for i, k in enumerate(key):
+        match = match & F.col(f"`{k}`").eqNullSafe(F.col(f"won.k{i}"))
+    return changes.join(won, match)
+
+
+def _lost(won: Column, value: Column, version: Column, cl: Column) -> Column:
+    """Whether a change isn't what won in its cell; won is null where nothing did."""
+    return F.coalesce(~(won["col_value"].eqNullSafe(value) & won["col_version"].eqNullSafe(version) & won["cl"].eqNullSafe(cl)), F.lit(True)) | won.isNull()
+
+
+def _losing(changes: DataFrame, state: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    best = F.when(F.col("col_name") == TOMBSTONE, F.col("won.sentinel"))
+    for c in columns:
+        best = best.when(F.col("col_name") == c, F.col(f"won.`{c}`"))
+    return _beside(changes, state, key).where(_lost(best, F.col("col_value"), F.col("col_version"), F.col("cl")))
+
+
+def rejected_rows(changes: DataFrame, key: list[str], columns: dict) -> DataFrame:
+    """rejected() of row changes: the changes of their columns that lose."""
+    both = _beside(_with_local(changes), merged_rows(changes, key, columns), key)
+    stamp = [c for c in CHANGE if c not in ("col_name", "col_value")]
+    made = []
+    for c, kind in columns.items():
+        value = V.to_value(F.col(f"`{c}`"), kind)
+        made.append(F.when(_lost(F.col(f"won.`{c}`"), value, F.col("col_version"), F.col("cl")), F.struct(F.lit(c).alias("col_name"), value.alias("col_value"))))
+    return both.select(*key, *stamp, F.explode(F.array_compact(F.array(*made))).alias("x")).select(*key, "x.*", *stamp).select(*key, *CHANGE)
 
 
 def deleted(state: DataFrame, key: list[str]) -> DataFrame:

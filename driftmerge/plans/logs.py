@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from driftmerge.functions import values as V
 from driftmerge.functions.clock import TOMBSTONE
-from driftmerge.operators.merge import CHANGE
+from driftmerge.operators.merge import row_cells
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 LINE_COLUMNS = {"l_quantity": T.DoubleType(), "l_returnflag": T.StringType(), "l_shipdate": T.StringType()}
@@ -19,18 +19,17 @@ ORDER_KEY = ["o_orderkey"]
 ORDER_COLUMNS = {"o_orderstatus": T.StringType(), "o_totalprice": T.DoubleType(), "o_orderpriority": T.StringType()}
 
 
-def _cells(rows: DataFrame, key: list[str], columns: dict, stamped: dict) -> DataFrame:
-    """A change for each row and column; stamped has the expressions of the change's other columns."""
-    made = F.array(*(F.struct(F.lit(c).alias("col_name"), V.to_value(F.col(c), kind).alias("col_value")) for c, kind in columns.items()))
-    rows = rows.select(*key, *(x.cast("bigint").alias(n) for n, x in stamped.items()), F.explode(made).alias("x"))
-    return rows.select(*key, "x.*", *stamped).select(*key, *CHANGE)
+def lineitem_rows(lineitem: DataFrame) -> DataFrame:
+    """Row changes. Keys that occur more than once act as concurrent writers; a third of the lines delete their row."""
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    stamp = {"col_version": 1 + part % 3, "db_version": part, "site_id": supp % 4, "cl": 1 + supp % 3, "seq": supp}
+    rows = lineitem.withColumn("l_shipdate", F.to_date("l_shipdate").cast("string")).withColumn("l_linenumber", F.col("l_linenumber").cast("bigint"))
+    return rows.select(*LINE_KEY, *LINE_COLUMNS, *(x.cast("bigint").alias(n) for n, x in stamp.items()))
 
 
 def lineitem_log(lineitem: DataFrame) -> DataFrame:
-    """Keys that occur more than once act as concurrent writers; a third of the lines delete their row."""
-    rows = lineitem.withColumn("l_shipdate", F.to_date("l_shipdate").cast("string")).withColumn("l_linenumber", F.col("l_linenumber").cast("bigint"))
-    part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    return _cells(rows, LINE_KEY, LINE_COLUMNS, {"col_version": 1 + part % 3, "db_version": part, "site_id": supp % 4, "cl": 1 + supp % 3, "seq": supp})
+    """The changes that lineitem_rows() stands for, one for each row and column."""
+    return row_cells(lineitem_rows(lineitem), LINE_KEY, LINE_COLUMNS)
 
 
 def events_log(events: DataFrame) -> DataFrame:

@@ -89,3 +89,30 @@ def test_empty_and_null_keys(spark):
 def test_types_are_ranked(spark, pair):
     df = spark.createDataFrame([pair], T.StructType([T.StructField("x", V.VALUE), T.StructField("y", V.VALUE)]))
     assert df.select(V.compare(F.col("x"), F.col("y"))).first()[0] == 1
+
+
+def test_row_changes_merge_as_the_changes_they_stand_for(spark):
+    rng = random.Random(11)
+    kinds = {"a": T.DoubleType(), "b": T.StringType()}
+    stamp = ("col_version", "db_version", "site_id", "cl", "seq")
+    schema = T.StructType([T.StructField("k", T.StringType()), *(T.StructField(c, t) for c, t in kinds.items()), *(T.StructField(c, T.LongType()) for c in stamp)])
+    made = [(rng.choice([None, *"pqrstuv"]), rng.choice([None, 0.0, -1.5, float("nan")]), rng.choice([None, "", "x", "é"]), rng.randint(1, 2), rng.randint(1, 9), rng.randint(0, 2), rng.randint(1, 3), n) for n in range(60)]
+    rows = spark.createDataFrame(made, schema)
+    cells = merge.row_cells(rows, ["k"], kinds)
+    assert cells.count() == 2 * len(made)
+    shown = lambda df: sorted(str(tuple(r)) for r in df.select(*sorted(df.columns)).collect())
+    assert shown(merge.merged_rows(rows, ["k"], kinds)) == shown(merge.merged(cells, ["k"], list(kinds)))
+    lost = shown(merge.rejected(cells, ["k"], list(kinds)))
+    assert lost and shown(merge.rejected_rows(rows, ["k"], kinds)) == lost
+    # Against the definition: a change is kept if it is what won in its cell.
+    won = merge.cells(merge.merged(cells, ["k"], list(kinds)), ["k"], list(kinds)).collect()
+    same = lambda r: (r.k, r.col_name, str(r.col_value), r.col_version, r.cl)
+    kept = {same(r) for r in won}
+    assert lost == shown(spark.createDataFrame([r for r in cells.collect() if same(r) not in kept], cells.schema))
+
+
+def test_row_changes_are_sorted_by_rows_not_by_cells(spark):
+    """Before the shuffle each row written is one row, so what a task sorts and may spill doesn't grow with the columns."""
+    rows = spark.range(50).selectExpr("id % 7 k", "double(id) a", "string(id) b", "1L col_version", "id db_version", "0L site_id", "1L cl", "id seq")
+    plan = merge.merged_rows(rows.unionByName(rows), ["k"], {"a": T.DoubleType(), "b": T.StringType()})._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
