@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -194,6 +195,66 @@ def decode(data: bytes, at: int, count: int, out: Decoded) -> int:
     return at
 
 
+class DecodedRows:
+    """Rows of a fixed number of values, column by column: in one list each, by the kind that the column holds.
+
+    A value of another kind than its column's counts as null. A kind of '' holds values of any kind, as the columns of VALUE.
+    """
+
+    __slots__ = ("kinds", "lists", "any", "steps")
+    _OF = {"i": (TAG_INT, TAG_NEGATIVE_INT, TAG_INT_MIN), "d": (TAG_FLOAT, TAG_NEGATIVE_FLOAT), "s": (TAG_TEXT,), "b": (TAG_BLOB,)}
+
+    def __init__(self, kinds: tuple[str, ...]) -> None:
+        self.kinds, self.any = kinds, Decoded()
+        self.lists: list[list] = [[] for _ in kinds]
+        self.steps = [(None if k == "" else x.append, *(t in self._OF.get(k, ()) for t in (TAG_INT, TAG_FLOAT, TAG_TEXT, TAG_BLOB))) for k, x in zip(kinds, self.lists, strict=True)]
+
+    def __len__(self) -> int:
+        return len(self.any) if "" in self.kinds else len(self.lists[0])
+
+    def arrays(self) -> list[pa.Array]:
+        return [pa.array(x, Decoded.KINDS[k]) if k else self.any.every() for k, x in zip(self.kinds, self.lists, strict=True)]
+
+    def row(self, data: bytes, at: int) -> int:
+        """Add the row at ``at``; where it ends. Of one that breaks off nothing is added."""
+        end, held = len(data), len(self)
+        try:
+            for put, is_int, is_float, is_text, is_blob in self.steps:
+                if put is None:
+                    at = decode(data, at, 1, self.any)
+                    continue
+                head = data[at]
+                tag = head & 7
+                at += 1
+                if tag == TAG_TEXT or tag == TAG_BLOB:
+                    width = head >> 3
+                    begin = at + width
+                    at = begin + int.from_bytes(data[at:begin], "big")
+                    if begin > end or at > end:
+                        raise IndexError
+                    put((data[begin:at].decode(errors="replace") if is_text else None) if tag == TAG_TEXT else data[begin:at] if is_blob else None)
+                elif tag == TAG_INT or tag == TAG_NEGATIVE_INT:
+                    begin, at = at, at + (head >> 3)
+                    number = int.from_bytes(data[begin:at], "big")
+                    if at > end or number - (tag == TAG_NEGATIVE_INT) >= 1 << 63:
+                        raise IndexError
+                    put((-number if tag == TAG_NEGATIVE_INT else number) if is_int else None)
+                elif tag == TAG_FLOAT or tag == TAG_NEGATIVE_FLOAT:
+                    begin, at = at, at + 8
+                    if at > end:
+                        raise IndexError
+                    number = _DOUBLE.unpack_from(data, begin)[0]
+                    put((-number if tag == TAG_NEGATIVE_FLOAT else number) if is_float else None)
+                else:
+                    put(INT64_MIN if tag == TAG_INT_MIN and is_int else None)
+        except (IndexError, CodecError) as e:
+            self.any.cut(held)
+            for x in self.lists:
+                del x[held:]
+            raise CodecError("the encoding ends too early") from e
+        return at
+
+
 def decode_key(key: bytes, out: Decoded) -> int:
     """Put the values of a key into out; how many they are."""
     if not key:
@@ -205,17 +266,22 @@ def decode_key(key: bytes, out: Decoded) -> int:
     return key[0]
 
 
-@F.arrow_udf(T.ArrayType(VALUE := V.VALUE))
-def decoded_key(keys: pa.Array) -> pa.Array:
-    """array<VALUE> of each key; null for null, and for bytes that are no key."""
+def keys_decoded(keys: list[bytes | None]) -> pa.ListArray:
     out, ends, right = Decoded(), [0], []
-    for key in keys.to_pylist():
+    for key in keys:
         try:
             right.append(key is not None and decode_key(key, out) > 0)
         except CodecError:
             right.append(False)
         ends.append(len(out))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), out.every(), mask=pa.array([not x for x in right]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), out.every(), mask=pa.array([not x for x in right], pa.bool_()))
+
+
+@F.arrow_udf(T.ArrayType(VALUE := V.VALUE))
+def decoded_key(keys: pa.Array) -> pa.Array:
+    """array<VALUE> of each key; null for null, and for bytes that are no key. A batch's distinct keys are decoded once each."""
+    distinct = pc.dictionary_encode(keys, null_encoding="encode")
+    return keys_decoded(distinct.dictionary.to_pylist()).take(distinct.indices)
 
 
 def key_of(columns: list[tuple[Column, T.DataType]]) -> Column:
@@ -228,3 +294,15 @@ def key_of(columns: list[tuple[Column, T.DataType]]) -> Column:
 def key_value(key: Column, n: int) -> Column:
     """The n-th value of a key, from 1; null beyond its last."""
     return F.get(decoded_key(key), n - 1)
+
+
+def integer_key(key: Column) -> Column:
+    """The value of a key that is one integer; null for any other key, for null and for bytes that are no key. No Python is run for it."""
+    digits = F.hex(key)
+    head = F.conv(F.substring(digits, 3, 2), 16, 10).cast("int")
+    tag, rest = head.bitwiseAND(7), F.substring(digits, 5, 1 << 20)
+    short = F.ltrim(rest, F.lit("0"))
+    number = F.when(short == "", F.lit("0")).when(F.length(short) <= 16, F.conv(short, 16, 10))
+    whole = F.length(rest) == F.shiftright(head, 3) * 2
+    value = F.when((tag == TAG_INT) & whole, number.try_cast("bigint")).when((tag == TAG_NEGATIVE_INT) & whole, F.concat(F.lit("-"), number).try_cast("bigint")).when((tag == TAG_INT_MIN) & (rest == ""), F.lit(INT64_MIN))
+    return F.when(F.startswith(digits, F.lit("01")) & (F.length(digits) >= 4), value)

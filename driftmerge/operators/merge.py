@@ -30,15 +30,16 @@ def _rank(grow_only: bool) -> Column:
     return F.struct((F.lit(1).cast("bigint") if grow_only else F.col("cl")).alias("cl"), "col_version", "col_value", "is_local", "site_id", "db_version", "seq")
 
 
-def merged(changes: DataFrame, key: list[str], columns: list[str], algo: Algo = Algo.CLS) -> DataFrame:
+def merged(changes: DataFrame, key: list[str], columns: list[str], algo: Algo = Algo.CLS, *more: Column) -> DataFrame:
     """One row per key: cl, the sentinel's change under ``sentinel`` and each column's best change under the column's name.
 
     A column's field is null if no change at the row's causal length names it; all are null for deleted rows. Columns that
     aren't named in ``columns`` only count for cl. Changes with a null key make up a row of their own. Empty in, empty out.
+    more: further aggregates of a key's changes, under names of their own.
     """
     of = lambda name: F.max(F.when(F.col("col_name") == name, _rank(algo.grow_only)))
     cl = F.lit(1).cast("bigint") if algo.grow_only else F.max("cl")
-    best = _with_local(changes).groupBy(*key).agg(cl.alias("cl"), of(TOMBSTONE).alias("sentinel"), *(of(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    best = _with_local(changes).groupBy(*key).agg(cl.alias("cl"), of(TOMBSTONE).alias("sentinel"), *(of(c).alias(f"c{i}") for i, c in enumerate(columns)), *more)
     return _held(best, key, columns)
 
 
@@ -46,7 +47,8 @@ def _held(best: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """What merged() gives, of the greatest changes (sentinel, c0, c1 ...) and the causal length of each key."""
     alive = F.col("cl") % 2 == 1
     held = lambda name: F.when(F.col(name)["cl"] == F.col("cl"), F.col(name))
-    return best.select(*key, "cl", held("sentinel").alias("sentinel"), *(F.when(alive, held(f"c{i}")).alias(c) for i, c in enumerate(columns)))
+    made = {"cl", "sentinel", *key, *(f"c{i}" for i in range(len(columns)))}
+    return best.select(*key, "cl", held("sentinel").alias("sentinel"), *(F.when(alive, held(f"c{i}")).alias(c) for i, c in enumerate(columns)), *(c for c in best.columns if c not in made))
 
 
 def merged_rows(changes: DataFrame, key: list[str], columns: dict) -> DataFrame:
@@ -90,8 +92,18 @@ def cells(state: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
 
 def merge_changes(local: DataFrame, incoming: DataFrame, key: list[str], columns: list[str], local_version: int, algo: Algo = Algo.CLS) -> DataFrame:
     """Feed after applying incoming to local: cells(), where newly won changes have versions above local_version."""
+    return merged_cells(merged_with(local, incoming, key, columns, algo), key, columns, local_version)
+
+
+def merged_with(local: DataFrame, incoming: DataFrame, key: list[str], columns: list[str], algo: Algo = Algo.CLS) -> DataFrame:
+    """merged() of local and incoming changes, and ``_local_cl``: the causal length that the row has locally, null without it."""
     both = local.withColumn("is_local", F.lit(True)).unionByName(incoming.withColumn("is_local", F.lit(False)))
-    won = cells(merged(both, key, columns, algo), key, columns)
+    return merged(both, key, columns, algo, F.max(F.when(F.col("is_local"), F.col("cl"))).alias("_local_cl"))
+
+
+def merged_cells(state: DataFrame, key: list[str], columns: list[str], local_version: int) -> DataFrame:
+    """cells() of merged_with(), where newly won changes have versions above local_version."""
+    won = cells(state, key, columns)
     version = F.when(F.col("is_local"), F.col("db_version")).otherwise(merged_version(F.lit(local_version), F.col("db_version")))
     return won.withColumn("db_version", version.cast("bigint"))
 
@@ -101,22 +113,20 @@ def unseen(local: DataFrame) -> DataFrame:
     return local.withColumn("col_value", F.when(F.col("col_value")["s"].eqNullSafe(F.lit(RESTRICTED)), V.no_value()).otherwise(F.col("col_value")))
 
 
-def upserted(base: DataFrame, local: DataFrame, won: DataFrame, key: list[str], columns: dict, defaults: dict | None = None, algo: Algo = Algo.CLS) -> DataFrame:
-    """base after the changes of others in won, which is what merge_changes() has made of local and those.
+def upserted(base: DataFrame, state: DataFrame, key: list[str], columns: dict, defaults: dict | None = None, algo: Algo = Algo.CLS) -> DataFrame:
+    """base after the changes of others in state, which is what merged_with() has made of base's own changes and those.
 
     Rows that no such change has won in stay as they are, with or without clocks. A row whose causal length has grown to an even
     number goes; one that comes back to life has defaults where nothing is written. A row that isn't in base is made if a change
     of another replica has won in it, as a row that was deleted without capture is.
     """
-    state = merged(won, key, list(columns), algo)
     theirs = lambda c: F.coalesce(~F.col(f"`{c}`.is_local"), F.lit(False))
     touched = theirs("sentinel")
     for c in columns:
         touched = touched | theirs(c)
-    state = state.where(touched).select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key)), "cl", *(F.when(theirs(c), F.col(f"`{c}`.col_value")).alias(f"_w{i}") for i, c in enumerate(columns)))
-    known = local.groupBy(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key))).agg(F.max("cl").alias("_cl"))
+    state = state.where(touched).select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key)), "cl", "_local_cl", *(F.when(theirs(c), F.col(f"`{c}`.col_value")).alias(f"_w{i}") for i, c in enumerate(columns)))
     keys = [f"_k{i}" for i in range(len(key))]
-    state = state.join(known, keys, "left").withColumn("_new", F.lit(False) if algo.grow_only else F.coalesce(F.col("cl") > F.col("_cl"), F.lit(True)))
+    state = state.withColumn("_new", F.lit(False) if algo.grow_only else F.coalesce(F.col("cl") > F.col("_local_cl"), F.lit(True)))
     held = base.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key)), *(F.col(f"`{c}`").alias(f"_v{i}") for i, c in enumerate(columns)), F.lit(True).alias("_there"))
     both = held.join(state, keys, "full").where("cl is null or cl % 2 = 1")
     made = []

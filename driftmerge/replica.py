@@ -239,7 +239,10 @@ class Replica:
         if allowed is not None:
             bad = changes.where("error is not null")
             changes = policy.gated(changes.where("error is null"), allowed)[0].unionByName(bad)
-        changes = changes.withColumn("_key", codec.decoded_key(F.col("pk")))
+        if all(len(spec.key) == 1 and isinstance(spec.kind(spec.key[0]), T.LongType) for spec in specs.values()):
+            changes = changes.withColumn("_int", codec.integer_key(F.col("pk"))).withColumn("_key", F.when(F.col("_int").isNotNull(), F.array(V.to_value(F.col("_int"), T.LongType())))).drop("_int")
+        else:
+            changes = changes.withColumn("_key", codec.decoded_key(F.col("pk")))
         reason, there = F.col("error"), F.lit(False)
         for name, spec in specs.items():
             mine = F.lower("tbl") == name
@@ -258,8 +261,10 @@ class Replica:
             incoming = changes.where((F.lower("tbl") == name) & F.col("error").isNull())
             incoming = incoming.select(*(V.from_value(F.col("_key")[i], spec.kind(k)).alias(k) for i, k in enumerate(key)), *merge.CHANGE)
             local = merge.unseen(self.logical_changes(name))
-            won = stage(merge.merge_changes(local, incoming, key, columns, version, spec.algo))
-            base = merge.upserted(self.table(name), local, won, key, {c: spec.kind(c) for c in columns}, spec.defaults, spec.algo)
+            # The merged rows are staged once; rows and clocks are both made of them, without another aggregation.
+            state = stage(merge.merged_with(local, incoming, key, columns, spec.algo))
+            won = merge.merged_cells(state, key, columns, version)
+            base = merge.upserted(self.table(name), state, key, {c: spec.kind(c) for c in columns}, spec.defaults, spec.algo)
             self._put(spec, base.select(*(F.col(f"`{f.name}`") for f in spec.schema)), won.select(*key, "col_name", "col_version", "db_version", "site_id", "seq"))
         self._commit()
         received = sum(counted.values())

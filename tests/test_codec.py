@@ -118,3 +118,37 @@ def test_endpoints():
     assert at.with_apikey("k").authentication == "apikey=k" and at.with_token("u").check == at.check
     with pytest.raises(ValueError):
         endpoints("https://host.example", bytes(16))
+
+
+def test_integer_keys_are_decoded_without_python_as_with_it(spark):
+    ints = [0, 1, -1, 127, 128, -128, -255, 1 << 40, (1 << 63) - 1, -(1 << 63), 1 - (1 << 63)]
+    keys = [b"\x01" + codec.integer_bytes(i) for i in ints]
+    keys += [b"\x01" + bytes((codec.TAG_NEGATIVE_INT | 8 << 3,)) + (1 << 63).to_bytes(8, "big"), b"\x01" + bytes((codec.TAG_INT | 12 << 3,)) + (77).to_bytes(12, "big"), b"\x01\x01"]
+    keys += [None, b"", b"\x01", b"\x02" + keys[0][1:], keys[3] + b"\0", keys[7][:-1], b"\x01" + codec.text_bytes("a"), b"\x01" + codec.float_bytes(1.0), b"\x01\x05", b"\x01" + bytes((codec.TAG_INT | 8 << 3,)) + b"\xff" * 8, b"\x01" + bytes((codec.TAG_INT | 9 << 3,)) + b"\x01" + b"\0" * 8, b"\x01\x06\x00"]
+    table = spark.createDataFrame([(n, None if k is None else bytearray(k)) for n, k in enumerate(keys)], "n int, k binary")
+    back = table.select("n", codec.integer_key(F.col("k")).alias("i"), codec.decoded_key(F.col("k")).alias("v")).collect()
+    assert [r.i for r in sorted(back, key=lambda r: r.n)][: len(ints)] == ints
+    for r in back:
+        assert r.i == (r.v[0].i if r.v and len(r.v) == 1 else None), keys[r.n]
+
+
+def test_rows_are_decoded_column_by_column_as_one_by_one():
+    rng = random.Random(3)
+    some = (lambda: codec.integer_bytes(rng.choice([0, -1, 1 << 40, codec.INT64_MIN, (1 << 63) - 1])), lambda: codec.float_bytes(rng.choice([0.0, -2.5])), lambda: codec.text_bytes(rng.choice(["", "aé", "x" * 300])), lambda: codec.blob_bytes(rng.choice([b"", b"\xff"])), lambda: codec.NULL_BYTES)
+    kinds = ("s", "b", "", "i", "d")
+    for n in range(600):
+        body = b"".join(rng.choice(some)() for _ in range(10))
+        body = body[: rng.randint(0, len(body))] if n % 2 else body
+        body = bytes(rng.randrange(256) if rng.random() < 0.05 else x for x in body) if n % 4 == 3 else body
+        one, many, ends = codec.Decoded(), codec.DecodedRows(kinds), []
+        for step in (lambda at: codec.decode(body, at, 5, one), lambda at: many.row(body, at)):
+            at = 0
+            try:
+                for _ in range(2):
+                    at = step(at)
+                ends.append(at)
+            except codec.CodecError as e:
+                ends.append(str(e))
+        assert ends[0] == ends[1]
+        want = [list(getattr(one, k)[j::5]) if k else one.every(5, j).to_pylist() for j, k in enumerate(kinds)]
+        assert str([x.to_pylist() for x in many.arrays()]) == str(want)
