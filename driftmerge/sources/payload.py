@@ -107,11 +107,6 @@ _ARROW = pa.schema([(c, codec.Decoded.KINDS[k] if k else pa.struct(list(codec.De
 _SOME = 10_000
 
 
-def _changes(values: codec.Decoded) -> list[pa.Array]:
-    n = len(_HELD)
-    return [pa.array(getattr(values, k)[j::n], codec.Decoded.KINDS[k]) if k else values.every(n, j) for j, k in enumerate(_HELD.values())]
-
-
 def decode(payloads: DataFrame, column: str = "payload", accepted: Iterable[int] | None = None, skip: bool = False) -> DataFrame:
     """Changes of the payloads; with ``accepted``, a payload under another schema hash raises SchemaMismatch in the job.
 
@@ -121,21 +116,21 @@ def decode(payloads: DataFrame, column: str = "payload", accepted: Iterable[int]
     hashes = None if accepted is None else frozenset(accepted)
     schema = pa.schema([*_ARROW, ("error", pa.string())]) if skip else _ARROW
 
-    def made(values: codec.Decoded) -> pa.RecordBatch:
-        columns = _changes(values)
+    def made(values: codec.DecodedRows) -> pa.RecordBatch:
+        columns = values.arrays()
         return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.string())] if skip else columns, schema=schema)
 
-    def rows(payload: bytes) -> Iterator[codec.Decoded]:
+    def rows(payload: bytes) -> Iterator[codec.DecodedRows]:
         head, body = _body(payload, hashes)
         if head["ncols"] != len(_HELD):
             raise PayloadError(f"rows of {head['ncols']} values")
-        at, values = 0, codec.Decoded()
+        at, values = 0, codec.DecodedRows(tuple(_HELD.values()))
         try:
             for n in range(head["nrows"]):
-                at = codec.decode(body, at, len(_HELD), values)
+                at = values.row(body, at)
                 if (n + 1) % _SOME == 0:
                     yield values
-                    values = codec.Decoded()
+                    values = codec.DecodedRows(tuple(_HELD.values()))
         finally:
             if len(values):
                 yield values
