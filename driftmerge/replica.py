@@ -105,10 +105,12 @@ class Replica:
         self._commit()
 
     def enable_all(self, keys: dict[str, tuple[str, ...]], algo: Algo = Algo.CLS, force: bool = False) -> None:
-        """Replicate every table and view of the session's catalogue, none if one isn't eligible; keys has the key columns of each."""
+        """Replicate every table and view of the session's catalogue, none if one isn't eligible; keys has the key columns of each. A view of the feed is no table."""
         found = []
         for t in self.spark.catalog.listTables():
             key, rows = tuple(keys.get(t.name, ())), self.spark.table(f"`{t.name}`")
+            if not key and set(rows.columns) == set(CHANGES.names):  # the feed's own view, as driftmerge.sql makes it
+                continue
             held = {k.lower() for k in key}
             fields = [T.StructField(f.name, f.dataType, f.nullable and f.name.lower() not in held) for f in rows.schema]
             found.append((TableSpec(t.name, T.StructType(fields), key, algo=algo).validate(force).check_keys(rows), rows))

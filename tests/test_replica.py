@@ -208,3 +208,15 @@ def test_eligibility():
     assert Algo.named("CLS") is Algo.CLS and Algo.named("deletewinsset") is Algo.DWS
     with pytest.raises(SpecError):
         Algo.named("other")
+
+
+def test_the_feeds_own_view_is_no_table(spark, tmp_path):
+    people(spark, [1]).createOrReplaceTempView("people")
+    try:
+        r = Replica(spark, f"{tmp_path}/r")
+        r.changes().createOrReplaceTempView("drift_changes")
+        r.enable_all({"people": SPEC.key})
+        assert r.is_enabled("people") and not r.is_enabled("drift_changes")
+    finally:
+        for view in ("people", "drift_changes"):
+            spark.catalog.dropTempView(view)
