@@ -16,20 +16,34 @@ from driftmerge.llm.common import buffers, chunks, packed, unpacked
 
 #: A row of a picture holds so many bytes: 64 pixels of three samples.
 ROW_BYTES = 192
+#: Bytes of pictures that are read together.
+READ_BYTES = 4 << 20
 #: Rows of one picture; longer payloads become a series of pictures.
 PICTURE_ROWS = 4096
 
 
+def stored_all(payloads: list[bytes]) -> list[bytes]:
+    """Payloads, of a positive multiple of ROW_BYTES bytes each, as one picture or a series of them."""
+    pictures, counts = [], []
+    for payload in payloads:
+        samples = np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES // 3, 3)
+        for at in range(0, len(samples), PICTURE_ROWS):
+            part = samples[at : at + PICTURE_ROWS]
+            pixels = np.full((*part.shape[:2], 4), 255, np.uint8)
+            pixels[..., :3] = part
+            pictures.append(pixels)
+        counts.append(-(-len(samples) // PICTURE_ROWS))
+    files: list[bytes] = []
+    bounds = np.concatenate([[0], np.cumsum([p.size for p in pictures])])
+    for i, j in chunks(bounds):
+        files += webp.encode_all(pictures[i:j])
+    made = iter(files)
+    return [b"".join(next(made) for _ in range(n)) for n in counts]
+
+
 def stored(payload: bytes) -> bytes:
-    """A payload, of a positive multiple of ROW_BYTES bytes, as one picture or a series of them."""
-    samples = np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES // 3, 3)
-    out = []
-    for at in range(0, len(samples), PICTURE_ROWS):
-        part = samples[at : at + PICTURE_ROWS]
-        pixels = np.full((*part.shape[:2], 4), 255, np.uint8)
-        pixels[..., :3] = part
-        out.append(webp.encode(pixels))
-    return b"".join(out)
+    """One payload, as stored_all() has it."""
+    return stored_all([payload])[0]
 
 
 def pixel_arrays(media: list[bytes]) -> list[np.ndarray]:
@@ -52,18 +66,14 @@ def features(pixels: np.ndarray) -> str:
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffers(batch.column("_text"))
-        seen: dict[bytes, bytes] = {}
-        sizes, payloads, media = [], [], []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            text = data[a:b].tobytes()
-            payload = text + b" " * (-len(text) % ROW_BYTES if text else ROW_BYTES)
-            key = hashlib.sha256(payload).digest()
-            if key not in seen:
-                seen[key] = stored(payload)
-            sizes.append(len(text))
-            payloads.append(len(payload))
-            media.append(seen[key])
-        yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_text"), pa.array(sizes, pa.int64()), pa.array(payloads, pa.int64()), pa.array(media, pa.binary())], ["_row", "_text", "n_bytes", "payload_bytes", "media"])
+        for i, j in chunks(offsets):
+            part = batch.slice(i, j - i)
+            texts = [data[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)]
+            payloads = [t + b" " * (-len(t) % ROW_BYTES if t else ROW_BYTES) for t in texts]
+            distinct = list(dict.fromkeys(payloads))
+            made = dict(zip(distinct, stored_all(distinct), strict=True))
+            columns = pa.array([len(t) for t in texts], pa.int64()), pa.array([len(p) for p in payloads], pa.int64()), pa.array([made[p] for p in payloads], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_text"), *columns], ["_row", "_text", "n_bytes", "payload_bytes", "media"])
 
 
 def as_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -82,7 +92,7 @@ def _read(with_pixels: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = buffers(batch.column("_text"))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, READ_BYTES):
                 part = batch.slice(i, j - i)
                 media = part.column("_text").to_pylist()
                 distinct = list(dict.fromkeys(m for m in media if m is not None))

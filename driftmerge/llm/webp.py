@@ -1,4 +1,4 @@
-"""Lossless WebP pictures: a decoder of the whole bit stream, and an encoder of the parts that texts gain by.
+"""Lossless WebP pictures: a decoder of the whole bit stream, and an encoder that picks for each picture the parts it gains by.
 
 Decoding reads prefix codes (simple and run-coded ones, with one group or an entropy image), literals, back-references and the
 colour cache, and inverts the predictor, cross-colour, subtract-green and palette transforms. Pixels are ARGB numbers while a
@@ -32,7 +32,7 @@ NEAR = (
 #: Codes that we write are at most this long, so that tables of them are small; the format allows 15 bits.
 LONGEST = 11
 #: How much longer than the best code the usual one for text may make a picture.
-USUAL = 1.1
+USUAL = 1.15
 
 
 class WebPError(ValueError):
@@ -239,6 +239,16 @@ def _prefix_value(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
+def _reference(bits: Bits, symbol: int, distance: Table, width: int) -> tuple[int, int]:
+    """Length and distance of a reference whose length's symbol is read."""
+    length = _prefix_value(bits, symbol)
+    code = _prefix_value(bits, bits.symbol(distance))
+    if code > len(NEAR):
+        return length, code - len(NEAR)
+    x, y = NEAR[code - 1]
+    return length, max(1, x + y * width)
+
+
 def _summed(table: Table, shift: int) -> list[int]:
     """A table's entries as symbol << shift + 6 | length."""
     found = table.summed.get(shift)
@@ -321,14 +331,8 @@ class Stream:
                 n += 1
             elif g < 256 + LENGTH_SYMBOLS:
                 bits.at = at + bits_used
-                length = _prefix_value(bits, g - 256)
-                code = _prefix_value(bits, bits.symbol(distance))
+                length, code = _reference(bits, g - 256, distance, width)
                 at = bits.at
-                if code > len(NEAR):
-                    code -= len(NEAR)
-                else:
-                    x, y = NEAR[code - 1]
-                    code = max(1, x + y * width)
                 if code > n or n + length > total:
                     raise WebPError("a back-reference outside the picture")
                 if code >= length:
@@ -351,15 +355,18 @@ class Stream:
 
 #: Pixels from which on a stream that is read alone has tables of its own made; fewer streams than FEW are read one by one.
 LONG, FEW = 1024, 32
+#: Streams that have ended are put aside after so many steps.
+STEPS = 16
 
 
 def read_together(streams: list[Stream]) -> list[np.ndarray | None]:
-    """The pixels before the first reference, or cache index, of each stream; None for streams that have to be read alone.
+    """The first pixels of each stream, mostly all; None for streams that have to be read alone.
 
-    One pixel of every stream is read at a time. A stream's place in its bits moves on, so pixels() goes on from there.
+    One pixel, cache index or reference of every stream is read at a time. A stream's place in its bits moves on, so pixels()
+    goes on from there.
     """
     found: list[np.ndarray | None] = [None] * len(streams)
-    which = sorted((i for i, s in enumerate(streams) if s.plain), key=lambda i: -streams[i].total)
+    which = [i for i, s in enumerate(streams) if s.plain]
     if len(which) < FEW:
         return found
     chosen = [streams[i] for i in which]
@@ -386,41 +393,61 @@ def read_together(streams: list[Stream]) -> list[np.ndarray | None]:
     base, last = np.cumsum(sizes) - sizes, np.array([s.bits.size for s in chosen])
     at, total = np.array([s.bits.at for s in chosen]), np.array([s.total for s in chosen])
     opaque = np.array([s.codes[0][3].entries[0] >> 4 << 24 for s in chosen])
-    to = np.cumsum(total) - total
-    out = np.zeros(int(total.sum()), np.int64)
-    row, stop, ends = np.arange(len(chosen)), total.copy(), at.copy()  # rows of the arrays below, pixels read, and the place after them
-    live = np.ones(len(row), bool)
+    cache_bits = np.array([s.cache_bits for s in chosen])
+    cache_at, back = np.cumsum(1 << cache_bits) - (1 << cache_bits), 32 - cache_bits
+    cache, cached = np.zeros(int((1 << cache_bits).sum()), np.int64), bool(cache_bits.any())
+    begin = np.cumsum(total + 1) - (total + 1)  # a place more for each, which streams that have ended write to
+    to, out = begin, np.zeros(int((total + 1).sum()), np.int64)
+    row, pos = np.arange(len(chosen)), np.zeros(len(chosen), np.int64)
+    stop, ends = pos.copy(), at.copy()  # pixels read, and the place after them
     step = 0
     while True:
-        n = int(np.searchsorted(-total[row], -step, "left")) if len(row) else 0  # longest first
-        if n < len(row):
-            ends[row[n:]] = np.where(live[n:], at[n:], ends[row[n:]])
-            row, live, at, base, last, to, opaque, g_at, g_mask, r_at, r_mask, b_at, b_mask = (x[:n] for x in (row, live, at, base, last, to, opaque, g_at, g_mask, r_at, r_mask, b_at, b_mask))
-        if step & 15 == 0 and not live.all():
-            row, at, base, last, to, opaque, g_at, g_mask, r_at, r_mask, b_at, b_mask = (x[live] for x in (row, at, base, last, to, opaque, g_at, g_mask, r_at, r_mask, b_at, b_mask))
-            live = np.ones(len(row), bool)
-        if len(row) < FEW:
-            ends[row] = np.where(live, at, ends[row])
-            stop[row] = np.where(live, step, stop[row])
-            break
+        if step % STEPS == 0:
+            live = pos < total
+            ends[row], stop[row] = at, pos
+            if not live.all():
+                row, pos, at, base, last, to, total, opaque, cache_at, back, g_at, g_mask, r_at, r_mask, b_at, b_mask = (x[live] for x in (row, pos, at, base, last, to, total, opaque, cache_at, back, g_at, g_mask, r_at, r_mask, b_at, b_mask))
+            if len(row) < FEW:
+                break
+        step += 1
         w = word[base + np.minimum(at, last) // 8] >> (at & 7)
         g = entries[g_at + (w & g_mask)]
         w >>= g & 15
         r = entries[r_at + (w & r_mask)]
         w >>= r & 15
         b = entries[b_at + (w & b_mask)]
-        literal = (g < 256 << 4) & live
-        over = live & ~literal
-        if over.any():
-            hit = np.flatnonzero(over)
-            stop[row[hit]], ends[row[hit]] = step, at[hit]
-            live = literal
-        out[to + step] = opaque | r >> 4 << 16 | g >> 4 << 8 | b >> 4
-        at = at + np.where(live, (g & 15) + (r & 15) + (b & 15), 0)
-        step += 1
+        moved = (g & 15) + (r & 15) + (b & 15)
+        colour = opaque | r >> 4 << 16 | g >> 4 << 8 | b >> 4
+        live = pos < total
+        references = ()
+        if (g >= 256 << 4).any():
+            hit = np.flatnonzero(g >= 256 + LENGTH_SYMBOLS << 4)
+            colour[hit] = cache[cache_at[hit] + (g[hit] >> 4) - 256 - LENGTH_SYMBOLS]
+            moved[hit] = g[hit] & 15
+            copied = (g >= 256 << 4) & (g < 256 + LENGTH_SYMBOLS << 4) & live
+            references = np.flatnonzero(copied).tolist()
+            live &= ~copied
+        out[to + pos] = colour
+        if cached:
+            cache[(cache_at + ((colour * CACHE_FACTOR & 0xFFFFFFFF) >> back))[live]] = colour[live]
+        at = at + np.where(live, moved, 0)
+        pos = pos + live
+        for k in references:
+            s = chosen[row[k]]
+            s.bits.at = int(at[k]) + int(g[k] & 15)
+            length, code = _reference(s.bits, int(g[k] >> 4) - 256, s.codes[0][4], s.width)
+            n = int(pos[k])
+            if code > n or n + length > total[k]:
+                raise WebPError("a back-reference outside the picture")
+            here = int(to[k]) + n
+            source = out[here - code : here]
+            out[here : here + length] = source[:length] if code >= length else np.tile(source, length // code + 1)[:length]
+            if cached:
+                copy = out[here : here + length]
+                cache[cache_at[k] + ((copy * CACHE_FACTOR & 0xFFFFFFFF) >> back[k])] = copy  # the last of a slot stays
+            at[k], pos[k] = s.bits.at, n + length
     if (ends > np.array([s.bits.size for s in chosen])).any():
         raise WebPError("the stream ends too early")
-    begin = np.cumsum(total) - total
     for k, i in enumerate(which):
         streams[i].bits.at = int(ends[k])
         found[i] = out[begin[k] : begin[k] + stop[k]]
@@ -653,29 +680,39 @@ class Writer:
         self.values.append(values.astype(np.uint64))
         self.sizes.append(sizes.astype(np.int64))
 
-    def bytes(self) -> bytes:
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
         self.many(np.zeros(0), np.zeros(0))
-        values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
-        values, sizes = values[sizes > 0], sizes[sizes > 0]
-        at = np.cumsum(sizes) - sizes
-        total = int(sizes.sum())
-        words = np.zeros(total // 64 + 2, np.uint64)
-        word, shift = at >> 6, (at & 63).astype(np.uint64)
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[first]] = np.add.reduceat(values << shift, first)  # bits of one word don't overlap
-        over = np.flatnonzero((at & 63) + sizes > 64)
-        words[word[over] + 1] += values[over] >> (np.uint64(64) - shift[over])
-        return words.tobytes()[: -(-total // 8)]
+        return np.concatenate(self.values), np.concatenate(self.sizes)
+
+
+def packed_bits(streams: list[list[tuple[np.ndarray, np.ndarray]]]) -> list[bytes]:
+    """Bytes of each stream; a stream is a list of values with their numbers of bits, 57 at most."""
+    values = np.concatenate([v for stream in streams for v, _ in stream])
+    sizes = np.concatenate([n for stream in streams for _, n in stream])
+    of = np.repeat(np.arange(len(streams)), [sum(len(n) for _, n in stream) for stream in streams])
+    values, sizes, of = values[sizes > 0], sizes[sizes > 0], of[sizes > 0]
+    total = np.bincount(of, sizes, len(streams)).astype(np.int64)
+    begin = np.cumsum(total // 64 + 2) - (total // 64 + 2)  # in words, each stream's own
+    at = np.cumsum(sizes) - sizes
+    at += (64 * begin - (np.cumsum(total) - total))[of]
+    words = np.zeros(int((total // 64 + 2).sum()), np.uint64)
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    words[word[first]] = np.add.reduceat(values << shift, first)  # bits of one word don't overlap
+    over = np.flatnonzero((at & 63) + sizes > 64)
+    words[word[over] + 1] += values[over] >> (np.uint64(64) - shift[over])
+    data = words.tobytes()
+    return [data[8 * b : 8 * b + -(-n // 8)] for b, n in zip(begin.tolist(), total.tolist(), strict=True)]
 
 
 @functools.cache
 def usual_lengths(size: int) -> tuple[np.ndarray, np.ndarray]:
     """A code for bytes of ordinary text, and how many bits a symbol of it takes; symbols from 256 on are rare.
 
-    Counts are by a rule: space, vowels and frequent consonants, other small letters, marks and line ends, all else.
+    Counts are by a rule: space, small letters about as often as in English, marks and line ends, all else.
     """
     counts = np.ones(size)
-    for kind, n in ((range(128, 192), 4), (range(65, 91), 8), (range(48, 58), 4), (b".,\n", 60), (range(97, 123), 40), (b"aeinorst", 300), (b" ", 700)):
+    for kind, n in ((range(128, 192), 4), (range(65, 91), 8), (range(48, 58), 4), (b".,\n", 60), (b"\xc3", 20), (range(97, 123), 15), (b"kv", 45), (b"bfgpwy", 75), (b"cdhlmu", 130), (b"ainorst", 290), (b"e", 430), (b" ", 700)):
         counts[list(kind)] = n
     lengths = code_lengths((counts * 4).astype(np.int64))
     return lengths, lengths.astype(float)
@@ -697,14 +734,7 @@ def _written(lengths: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """What writing a code puts into the stream (values and sizes), and the bits and number of bits of each symbol."""
     out = Writer()
     codes, sizes = _write_code(out, np.frombuffer(lengths, np.int64))
-    out.many(np.zeros(0), np.zeros(0))
-    return np.concatenate(out.values), np.concatenate(out.sizes), codes, sizes
-
-
-def _put_code(out: Writer, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values, sizes, codes, n = _written(lengths.tobytes())
-    out.many(values, sizes)
-    return codes, n
+    return *out.tokens(), codes.astype(np.uint64), sizes
 
 
 def _write_code(out: Writer, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -725,18 +755,16 @@ def _write_code(out: Writer, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if len(used) == 1:  # a lone symbol of two bytes: coded with a neighbour that never comes
         lengths[used[0] - 1] = 1
     last = int(np.flatnonzero(lengths)[-1]) + 1
-    symbols, extras, widths = [], [], []
-    begins = np.concatenate([[0], np.flatnonzero(lengths[1:last] != lengths[: last - 1]) + 1, [last]])
-    for value, run in zip(lengths[begins[:-1]].tolist(), np.diff(begins).tolist(), strict=True):
-        while value == 0 and run >= 3:
-            some = min(run, 138)
-            symbols.append(18 if some >= 11 else 17)
-            extras.append(some - 11 if some >= 11 else some - 3)
-            widths.append(7 if some >= 11 else 3)
-            run -= some
-        symbols += [value] * run
-        extras += [0] * run
-        widths += [0] * run
+    begins = np.concatenate([[0], np.flatnonzero(lengths[1:last] != lengths[: last - 1]) + 1])
+    run, value = np.diff(begins, append=last), lengths[begins]
+    if ((value == 0) & (run > 138)).any():  # as several
+        begins = np.concatenate([np.arange(x, x + n, 138) if v == 0 else [x] for x, n, v in zip(begins.tolist(), run.tolist(), value.tolist(), strict=True)])
+        run, value = np.diff(begins, append=last), lengths[begins]
+    zeros, many = (value == 0) & (run >= 3), run >= 11
+    times = np.where(zeros, 1, run)
+    symbols = np.repeat(np.where(zeros, np.where(many, 18, 17), value), times)
+    extras = np.repeat(np.where(zeros, run - np.where(many, 11, 3), 0), times)
+    widths = np.repeat(np.where(zeros, np.where(many, 7, 3), 0), times)
     short = code_lengths(np.bincount(symbols, minlength=19), 7)
     if np.count_nonzero(short) == 1:
         short[0 if short[0] == 0 else 1] = 1
@@ -751,8 +779,7 @@ def _write_code(out: Writer, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     out.put(1, 1)
     out.put(width, 3)
     out.put(size - 2, 2 + 2 * width)
-    s = np.array(symbols)
-    out.many(codes[s] | np.array(extras) << short[s], short[s] + np.array(widths))
+    out.many(codes[symbols] | extras << short[symbols], short[symbols] + widths)
     if len(symbols) < 2:
         out.put(int(codes[0 if lengths[0] == 0 else symbols[0]]), int(short[symbols[0]]))
     return canonical(lengths), lengths
@@ -767,22 +794,38 @@ def _prefixed(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol, n & ((1 << extra) - 1), extra
 
 
-def repeats(argb: np.ndarray, width: int, least: int = 4, most: int = 4096) -> list[tuple[int, int, int]]:
-    """(start, length, distance) of runs that equal what is a pixel or a row before, in order and apart."""
-    out: list[tuple[int, int, int]] = []
-    for distance in (1, width):
-        if len(argb) <= distance:
-            continue
-        same = argb[distance:] == argb[:-distance]
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
-        for a, b in zip((edges[::2] + distance).tolist(), (edges[1::2] + distance).tolist(), strict=True):
-            out += [(x, min(most, b - x), distance) for x in range(a, b, most) if min(most, b - x) >= least]
-    out.sort(key=lambda r: (r[0], -r[1]))
+#: Pixels that a reference copies, and words of them that are sought.
+LEAST_RUN, LONGEST_RUN = 4, 4096
+#: A reference goes back so far at most.
+FARTHEST = (1 << 20) - len(NEAR)
+
+
+def repeats(argb: np.ndarray, of: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of runs that equal what is nearest before in their image, in order and apart; of: each pixel's image."""
+    n = len(argb) - LEAST_RUN + 1
+    if n < 2:
+        return []
+    key = np.zeros(n, np.uint64)
+    for i in range(LEAST_RUN):
+        key = (key ^ argb[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    place = np.uint64((1 << n.bit_length()) - 1)
+    key = np.sort(key & ~place | np.arange(n, dtype=np.uint64))
+    same = np.flatnonzero((key[1:] ^ key[:-1]) <= place)
+    here, there = (key[same + 1] & place).astype(np.int64), (key[same] & place).astype(np.int64)
+    right = (of[here + LEAST_RUN - 1] == of[there]) & (here - there <= FARTHEST)
+    for i in range(LEAST_RUN):
+        right &= argb[here + i] == argb[there + i]
+    distance = np.zeros(n + 1, np.int64)
+    distance[here[right]] = (here - there)[right]
+    starts = np.flatnonzero(np.diff(distance, prepend=0))
     kept, end = [], 0
-    for r in out:
-        if r[0] >= end:
-            kept.append(r)
-            end = r[0] + r[1]
+    for a, b, d in zip(starts[:-1].tolist(), starts[1:].tolist(), distance[starts].tolist(), strict=False):
+        if not d:
+            continue
+        a, b = max(a, end), b + LEAST_RUN - 1
+        kept += [(x, min(LONGEST_RUN, b - x), d) for x in range(a, b, LONGEST_RUN) if b - x >= LEAST_RUN]
+        end = kept[-1][0] + kept[-1][1] if kept else 0
     return kept
 
 
@@ -792,92 +835,144 @@ def _near_codes(width: int) -> dict[int, int]:
     return {max(1, x + y * width): i + 1 for i, (x, y) in reversed(list(enumerate(NEAR)))}
 
 
-def _cache_hits(argb: np.ndarray, literal: np.ndarray, cache_bits: int) -> np.ndarray:
-    """For each literal pixel, whether the cache has it: the pixel before it in its slot is the same colour."""
-    slot = (argb.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
-    order = np.argsort(slot, kind="stable")
+def _slots(argb: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Each pixel's slot in a cache of so many bits."""
+    return ((argb.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> (32 - bits).astype(np.uint64)).astype(np.int64)
+
+
+def _cache_hits(argb: np.ndarray, slot: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each pixel, whether the cache has it: the pixel before it in its image's slot is the same colour."""
+    n = max(1, len(argb))
+    order = np.sort(((of << 11) + slot) * n + np.arange(len(argb)))
+    at, group = order % n, order // n
     hit = np.zeros(len(argb), bool)
-    same = (slot[order][1:] == slot[order][:-1]) & (argb[order][1:] == argb[order][:-1])
-    hit[order[1:][same]] = True
-    return hit & literal
-
-
-def _write_pixels(out: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False) -> None:
-    """One entropy-coded image with one group of codes."""
-    out.put(cache_bits > 0, 1)
-    if cache_bits:
-        out.put(cache_bits, 4)
-    if main:
-        out.put(0, 1)
-    found = repeats(argb, width) if references else []
-    literal = np.ones(len(argb), bool)
-    for start, length, _ in found:
-        literal[start : start + length] = False
+    hit[at[1:][(group[1:] == group[:-1]) & (argb[at[1:]] == argb[at[:-1]])]] = True
+    return hit
+
+
+class Image:
+    """Pixels that one group of codes is written for."""
+
+    def __init__(self, argb: np.ndarray, width: int, main: bool = False, cache_bits: int = 0, references: bool = False):
+        self.argb, self.width, self.main, self.cache_bits, self.references = argb, width, main, cache_bits, references
+
+
+def _tokens(images: list[Image]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """What each image puts into its stream: values with their numbers of bits. All are counted and coded together."""
+    sizes = np.array([len(x.argb) for x in images])
+    argb, of = np.concatenate([x.argb for x in images]), np.repeat(np.arange(len(images)), sizes)
+    edges = np.concatenate([[0], np.cumsum(sizes)])
     colour = argb.astype(np.int64)
     green, red, blue, alpha = colour >> 8 & 255, colour >> 16 & 255, colour & 255, colour >> 24
-    symbol = green.copy()
-    plain = literal
-    if cache_bits:
-        hit = _cache_hits(argb, literal, cache_bits)
-        slot = (argb.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
-        symbol = np.where(hit, 256 + LENGTH_SYMBOLS + slot.astype(np.int64), symbol)
-        plain = literal & ~hit
-    token, distance_symbol = literal.copy(), np.zeros(0, np.int64)
+    literal, found = np.ones(len(argb), bool), []
+    allowed = np.repeat([x.references for x in images], sizes)
+    if allowed.any():
+        at = np.flatnonzero(allowed)
+        found = [(int(at[a]), n, d) for a, n, d in repeats(argb[at], of[at])]
+        for start, length, _ in found:
+            literal[start : start + length] = False
+    token, plain, symbol = literal.copy(), literal, green.copy()
+    cache_bits = np.array([x.cache_bits for x in images])
+    if cache_bits.any():
+        at = np.flatnonzero(cache_bits[of] > 0)
+        slot = _slots(argb[at], cache_bits[of[at]])
+        hit = _cache_hits(argb[at], slot, of[at]) & literal[at]
+        symbol[at[hit]] = 256 + LENGTH_SYMBOLS + slot[hit]
+        plain = literal.copy()
+        plain[at[hit]] = False
+    distance_counts = np.zeros((len(images), DISTANCE_SYMBOLS), np.int64)
     if found:
         starts = np.array([r[0] for r in found], np.int64)
         length_symbol, length_extra, length_bits = _prefixed(np.array([r[1] for r in found], np.int64))
-        near = _near_codes(width)
-        distance_symbol, distance_extra, distance_bits = _prefixed(np.array([near.get(r[2], r[2] + len(NEAR)) for r in found], np.int64))
+        distance_symbol, distance_extra, distance_bits = _prefixed(np.array([_near_codes(images[i].width).get(d, d + len(NEAR)) for (_, _, d), i in zip(found, of[starts].tolist(), strict=True)], np.int64))
         symbol[starts] = 256 + length_symbol
         token[starts] = True
-    alphabet = 256 + LENGTH_SYMBOLS + (1 << cache_bits if cache_bits else 0)
-    count = lambda x, n: np.bincount(x, minlength=n)
-    ends = chosen_lengths(count(red[plain], 256) + count(blue[plain], 256))  # one code for both channels
-    (gc, gn), (rc, rn), (bc, bn), (ac, an), (dc, dn) = (_put_code(out, x) for x in (chosen_lengths(count(symbol[token], alphabet)), ends, ends, code_lengths(count(alpha[plain], 256)), code_lengths(count(distance_symbol, DISTANCE_SYMBOLS))))
-    values, sizes = gc[symbol], gn[symbol]
-    for code, n, channel in ((rc, rn, red), (bc, bn, blue), (ac, an, alpha)):
-        values = np.where(plain, values | code[channel] << sizes, values)
-        sizes = np.where(plain, sizes + n[channel], sizes)
+        np.add.at(distance_counts, (of[starts], distance_symbol), 1)
+    alphabet = 256 + LENGTH_SYMBOLS + np.where(cache_bits > 0, 1 << cache_bits, 0)
+    begin = np.cumsum(alphabet) - alphabet
+    green_counts = np.bincount((begin[of] + symbol)[token], minlength=int(alphabet.sum()))
+    some = of[plain] << 8
+    ends_counts = np.bincount(np.concatenate([some + red[plain], some + blue[plain]]), minlength=len(images) << 8).reshape(-1, 256)  # one code for both channels
+    alpha_counts = np.bincount(some + alpha[plain], minlength=len(images) << 8).reshape(-1, 256)
+    green_code, green_size = np.zeros(len(green_counts), np.uint64), np.zeros(len(green_counts), np.int64)
+    (ends_code, ends_size), (alpha_code, alpha_size) = ((np.zeros((len(images), 256), np.uint64), np.zeros((len(images), 256), np.int64)) for _ in range(2))
+    distance_code, distance_size = np.zeros(distance_counts.shape, np.uint64), np.zeros(distance_counts.shape, np.int64)
+    heads = []
+    for i, image in enumerate(images):
+        cut = slice(begin[i], begin[i] + alphabet[i])
+        out = Writer()
+        out.put(image.cache_bits > 0, 1)
+        if image.cache_bits:
+            out.put(image.cache_bits, 4)
+        if image.main:
+            out.put(0, 1)
+        g, e = _written(chosen_lengths(green_counts[cut]).tobytes()), _written(chosen_lengths(ends_counts[i]).tobytes())
+        a, d = _written(_few_lengths(alpha_counts[i]).tobytes()), _written(_few_lengths(distance_counts[i]).tobytes())
+        green_code[cut], green_size[cut] = g[2:]
+        ends_code[i], ends_size[i] = e[2:]
+        alpha_code[i], alpha_size[i] = a[2:]
+        distance_code[i], distance_size[i] = d[2:]
+        heads.append([out.tokens(), *(x[:2] for x in (g, e, e, a, d))])
+    values, n = green_code[begin[of] + symbol], green_size[begin[of] + symbol]
+    v, bits = values[plain], n[plain]
+    for code, size, channel in ((ends_code, ends_size, red), (ends_code, ends_size, blue), *([(alpha_code, alpha_size, alpha)] if alpha_size.any() else [])):
+        at = some + channel[plain]
+        v |= code.ravel()[at] << bits.astype(np.uint64)
+        bits = bits + size.ravel()[at]
+    values[plain], n[plain] = v, bits
     if found:
-        v, n = values[starts], sizes[starts]
-        v, n = v | length_extra << n, n + length_bits
-        v, n = v | dc[distance_symbol] << n, n + dn[distance_symbol]
-        values[starts], sizes[starts] = v | distance_extra << n, n + distance_bits
-    out.many(values[token], sizes[token])
+        v, bits = values[starts], n[starts]
+        for code, size in ((length_extra, length_bits), (distance_code[of[starts], distance_symbol], distance_size[of[starts], distance_symbol]), (distance_extra, distance_bits)):
+            v |= code.astype(np.uint64) << bits.astype(np.uint64)
+            bits = bits + size
+        values[starts], n[starts] = v, bits
+    n[~token] = 0
+    return [[*head, (values[a:b], n[a:b])] for head, a, b in zip(heads, edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+@functools.cache
+def _lone(size: int, symbol: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    out[symbol] = 1
+    return out
+
+
+def _few_lengths(counts: np.ndarray) -> np.ndarray:
+    """code_lengths(), quicker for no symbol or one."""
+    used = np.flatnonzero(counts)
+    return code_lengths(counts) if len(used) != 1 else _lone(len(counts), int(used[0]))
 
 
 def _argb(pixels: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(pixels).view(np.uint32).ravel()
 
 
-def encode(pixels: np.ndarray, palette: bool = True, cache_bits: int = 0, references: bool = True, subtract_green: bool = False, modes: np.ndarray | None = None, factors: np.ndarray | None = None, shift: int = 4) -> bytes:
-    """A picture of height x width x 4 bytes (R, G, B, A) as a file.
-
-    palette: use one if there are 256 colours at most. modes and factors: the predictor's mode and the cross-colour factors
-    (green-to-red, green-to-blue, red-to-blue) for each block of 2 ** shift pixels' side.
-    """
+def _parts(pixels: np.ndarray, palette: bool = True, cache_bits: int = 0, references: bool = True, subtract_green: bool = False, modes: np.ndarray | None = None, factors: np.ndarray | None = None, shift: int = 4) -> list[Writer | Image]:
+    """A picture's stream as numbers and images; as encode()."""
     height, width, _ = pixels.shape
     if not (0 < height <= MAX_SIDE and 0 < width <= MAX_SIDE):
         raise WebPError("a picture has sides of 1 to 16384 pixels")
-    out = Writer()
-    for value, n in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (bool((pixels[..., 3] != 255).any()), 1), (0, 3)):
-        out.put(int(value), n)
+    parts: list[Writer | Image] = [Writer()]
+
+    def put(*pairs: tuple[int, int]) -> None:
+        if isinstance(parts[-1], Image):
+            parts.append(Writer())
+        for value, n in pairs:
+            parts[-1].put(int(value), n)
+
+    put((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (bool((pixels[..., 3] != 255).any()), 1), (0, 3))
     work = np.ascontiguousarray(pixels[..., [2, 1, 0, 3]])
 
     def blocks(array: np.ndarray, kind: int) -> None:
-        out.put(1, 1)
-        out.put(kind, 2)
-        out.put(shift - 2, 3)
-        _write_pixels(out, _argb(array), array.shape[1], False)
+        put((1, 1), (kind, 2), (shift - 2, 3))
+        parts.append(Image(_argb(array), array.shape[1]))
 
     if palette:
         colours, index = np.unique(_argb(work), return_inverse=True)
         if len(colours) <= 256:
-            out.put(1, 1)
-            out.put(PALETTE, 2)
-            out.put(len(colours) - 1, 8)
+            put((1, 1), (PALETTE, 2), (len(colours) - 1, 8))
             table = colours.view(np.uint8).reshape(-1, 4)
-            _write_pixels(out, _argb(np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)), len(colours), False)
+            parts.append(Image(_argb(np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)), len(colours)))
             squeeze = _packing(len(colours))
             index = np.pad(index.reshape(height, width), ((0, 0), (0, -width % (1 << squeeze))))
             index = (index.reshape(height, -1, 1 << squeeze) << (np.arange(1 << squeeze) * (8 >> squeeze))).sum(-1)
@@ -895,13 +990,196 @@ def encode(pixels: np.ndarray, palette: bool = True, cache_bits: int = 0, refere
         blocks(image, CROSS_COLOUR)
         work = _cross(work, image, shift, False)
     if subtract_green:
-        out.put(1, 1)
-        out.put(SUBTRACT_GREEN, 2)
-        work = work.copy()
-        work[..., 0] -= work[..., 1]
-        work[..., 2] -= work[..., 1]
-    out.put(0, 1)
-    _write_pixels(out, _argb(work), work.shape[1], True, cache_bits, references)
-    body = out.bytes()
-    chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
-    return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+        put((1, 1), (SUBTRACT_GREEN, 2))
+        work = _without_green(work)
+    put((0, 1))
+    parts.append(Image(_argb(work), work.shape[1], True, cache_bits, references))
+    return parts
+
+
+def _without_green(pixels: np.ndarray) -> np.ndarray:
+    out = pixels.copy()
+    out[..., 0] -= pixels[..., 1]
+    out[..., 2] -= pixels[..., 1]
+    return out
+
+
+def _files(held: list[list[Writer | Image]]) -> list[bytes]:
+    images = iter(_tokens([x for parts in held for x in parts if isinstance(x, Image)]))
+    streams = [[t for x in parts for t in (next(images) if isinstance(x, Image) else [x.tokens()])] for parts in held]
+    out = []
+    for body in packed_bits(streams):
+        chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
+        out.append(b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk)
+    return out
+
+
+def encode(pixels: np.ndarray, palette: bool = True, cache_bits: int = 0, references: bool = True, subtract_green: bool = False, modes: np.ndarray | None = None, factors: np.ndarray | None = None, shift: int = 4) -> bytes:
+    """A picture of height x width x 4 bytes (R, G, B, A) as a file.
+
+    palette: use one if there are 256 colours at most. modes and factors: the predictor's mode and the cross-colour factors
+    (green-to-red, green-to-blue, red-to-blue) for each block of 2 ** shift pixels' side.
+    """
+    return _files([_parts(pixels, palette, cache_bits, references, subtract_green, modes, factors, shift)])[0]
+
+
+# Choosing: what encode() is told, by estimates of the bits that each way takes.
+
+#: Estimates are whole numbers of so many parts of a bit, so that they don't depend on the pictures that are looked at together.
+PARTS = 1024
+#: A symbol that occurs takes about so many bits in the code itself.
+SYMBOL_BITS = 5
+#: Predictors are tried where the difference to a neighbour takes at most so many hundredths of what the best other way does.
+PROMISING = 110
+#: A cache is used where it takes at most so many hundredths of what the best way without one does; its code is long to write and read.
+PAYS = 97
+#: Side of the blocks that have a predictor, as a power of two.
+BLOCK = 4
+
+_logs = np.zeros(1, np.int64)
+
+
+def _n_log_n(n: np.ndarray) -> np.ndarray:
+    global _logs
+    if (most := int(n.max(initial=0))) >= len(_logs):
+        x = np.arange(2 * most + 1)
+        _logs = np.rint(x * np.log2(np.maximum(x, 1)) * PARTS).astype(np.int64)
+    return _logs[n]
+
+
+def _bits(counts: np.ndarray) -> np.ndarray:
+    """Estimate for each row of counts."""
+    return _n_log_n(counts.sum(-1)) - _n_log_n(counts).sum(-1) + SYMBOL_BITS * PARTS * (counts > 0).sum(-1)
+
+
+def _channel_bits(bgra: np.ndarray, of: np.ndarray, n: int, where: np.ndarray | None = None) -> np.ndarray:
+    """Estimate for the colours of pixels (rows of B, G, R, A) that are coded as literals."""
+    b, g, r = ((of << 8) + bgra[:, c] for c in range(3))
+    if where is not None:
+        b, g, r = b[where], g[where], r[where]
+    green = np.bincount(g, minlength=n << 8).reshape(n, 256)
+    ends = np.bincount(np.concatenate([b, r]), minlength=n << 8).reshape(n, 256)
+    return _bits(green) + _bits(ends)
+
+
+def _summed_by(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0], np.cumsum(values)])
+    return sums[edges[1:]] - sums[edges[:-1]]
+
+
+def _magnitude_bits() -> np.ndarray:
+    """About the bits that a difference takes, by its size."""
+    x = np.abs(np.arange(256).astype(np.uint8).view(np.int8).astype(np.int64))
+    return np.rint(2 * np.log2(1 + x) * PARTS).astype(np.int64)
+
+
+_MAGNITUDE = _magnitude_bits()
+
+
+def predictors(bgra: np.ndarray) -> np.ndarray:
+    """Mode of each block: the one whose differences are the smallest."""
+    height, width, _ = bgra.shape
+    rows, columns = -(-height >> BLOCK), -(-width >> BLOCK)
+    cost = np.zeros((14, rows, columns), np.int64)
+    for mode in range(14):
+        each = _MAGNITUDE[_predictor_residual(bgra, np.full((rows, columns), mode), BLOCK)].sum(-1)
+        each = np.pad(each, ((0, -height % (1 << BLOCK)), (0, -width % (1 << BLOCK))))
+        cost[mode] = each.reshape(rows, 1 << BLOCK, columns, 1 << BLOCK).sum((1, 3))
+    return cost.argmin(0).astype(np.uint8)
+
+
+def cross_factors(bgra: np.ndarray) -> np.ndarray:
+    """Factors of each block by least squares: green to red, green to blue, then red to what is left of blue."""
+    height, width, _ = bgra.shape
+    rows, columns = -(-height >> BLOCK), -(-width >> BLOCK)
+    wide = np.pad(bgra, ((0, -height % (1 << BLOCK)), (0, -width % (1 << BLOCK)), (0, 0))).view(np.int8).astype(np.int64)
+    b, g, r = (wide[..., c].reshape(rows, 1 << BLOCK, columns, 1 << BLOCK) for c in range(3))
+    fit = lambda x, y: np.clip(np.rint(32 * (x * y).sum((1, 3)) / np.maximum((x * x).sum((1, 3)), 1)), -128, 127).astype(np.int64)
+    to_red, to_blue = fit(g, r), fit(g, b)
+    rest = b - (to_blue[:, None, :, None] * g >> 5)
+    return np.stack([to_red, to_blue, fit(r, rest)], -1).astype(np.int8).view(np.uint8)
+
+
+def _predicting(pixels: np.ndarray) -> tuple[int, dict]:
+    """Estimate of the best way with predictors, and what encode() is told then."""
+    bgra = np.ascontiguousarray(pixels[..., [2, 1, 0, 3]])
+    modes = predictors(bgra)
+    rest = _predictor_residual(bgra, modes, BLOCK)
+    factors = cross_factors(rest)
+    image = np.concatenate([factors, np.full((*factors.shape[:2], 1), 255, np.uint8)], -1)
+    block_bits = int(_channel_bits(image.reshape(-1, 4), np.zeros(modes.size, np.int64), 1)[0])
+    mode_bits = int(_bits(np.bincount(modes.ravel(), minlength=16)[None])[0])
+    ways = ((rest, 0, {}), (_without_green(rest), 0, {"subtract_green": True}), (_cross(rest, image, BLOCK, False), block_bits, {"factors": factors}))
+    of = np.zeros(bgra.shape[0] * bgra.shape[1], np.int64)
+    bits = [int(_channel_bits(x.reshape(-1, 4), of, 1)[0]) + more for x, more, _ in ways]
+    best = bits.index(min(bits))
+    return bits[best] + mode_bits, {"palette": False, "modes": modes, "shift": BLOCK} | ways[best][2]
+
+
+def chosen(pictures: list[np.ndarray]) -> list[dict]:
+    """What encode() is told for each picture; a picture's choice doesn't depend on the others."""
+    n, sizes = len(pictures), np.array([p.shape[0] * p.shape[1] for p in pictures])
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    of = np.repeat(np.arange(n), sizes)
+    bgra = np.concatenate([p.reshape(-1, 4) for p in pictures])[:, [2, 1, 0, 3]]
+    argb = _argb(bgra)
+    direct = _channel_bits(bgra, of, n)
+    green = _channel_bits(_without_green(bgra), of, n)
+    # A palette: the colours' differences, and the indexes.
+    keys, many = np.unique(of << 32 | argb, return_counts=True)
+    owner = keys >> 32
+    colours = np.bincount(owner, minlength=n)
+    table = _argb_bytes(keys)
+    before = np.zeros_like(table)
+    before[1:] = np.where((owner[1:] == owner[:-1])[:, None], table[:-1], 0)
+    of_colours = np.concatenate([[0], np.cumsum(colours)])
+    indexes = _n_log_n(sizes) - _summed_by(_n_log_n(many), of_colours) + SYMBOL_BITS * PARTS * colours
+    palette = np.where(colours <= 256, _channel_bits(table - before, owner, n) + indexes, np.iinfo(np.int64).max)
+    palette[colours <= 16] = 0  # several pixels share a byte
+    # A cache of a slot for every two to four colours: more of them make the code longer than they save.
+    bits = np.clip(np.ceil(np.log2(np.maximum(colours, 2))).astype(np.int64) - 2, 1, 11)
+    slot = _slots(argb, bits[of])
+    hit = _cache_hits(argb, slot, of)
+    begin = np.concatenate([[0], np.cumsum(1 << bits)])
+    slots = np.bincount((begin[of] + slot)[hit], minlength=int(begin[-1]))
+    b, g, r = ((of << 8) + bgra[:, c] for c in range(3))
+    greens = np.bincount(g[~hit], minlength=n << 8).reshape(n, 256)
+    ends = np.bincount(np.concatenate([b[~hit], r[~hit]]), minlength=n << 8).reshape(n, 256)
+    cache = _n_log_n(sizes) - _n_log_n(greens).sum(-1) - _summed_by(_n_log_n(slots), begin) + SYMBOL_BITS * PARTS * ((greens > 0).sum(-1) + _summed_by((slots > 0).astype(np.int64), begin)) + _bits(ends)
+    best = np.minimum(np.minimum(direct, green), palette)
+    caching = 100 * cache <= PAYS * best
+    best = np.where(caching, cache, best)
+    # Differences to the pixel before and to the one above.
+    width = np.repeat([p.shape[1] for p in pictures], sizes)
+    inside = np.arange(len(argb)) - edges[of]
+    near = np.full(n, np.iinfo(np.int64).max)
+    for back in (np.ones_like(width), width):
+        other = np.where((inside >= back)[:, None], bgra[np.maximum(np.arange(len(argb)) - back, 0)], 0)
+        rest = bgra - other
+        near = np.minimum(near, np.minimum(_channel_bits(rest, of, n), _channel_bits(_without_green(rest), of, n)))
+    out = []
+    for i, picture in enumerate(pictures):
+        way: dict = {"palette": False}
+        if not caching[i] and palette[i] == best[i]:
+            way = {"palette": True}
+        elif caching[i]:
+            way = {"palette": False, "cache_bits": int(bits[i])}
+        elif green[i] == best[i] and green[i] < direct[i]:
+            way = {"palette": False, "subtract_green": True}
+        if best[i] and 100 * near[i] <= PROMISING * best[i]:
+            least, how = _predicting(picture)
+            way = how if least < best[i] else way
+        out.append(way)
+    return out
+
+
+def _argb_bytes(numbers: np.ndarray) -> np.ndarray:
+    """B, G, R, A of each number."""
+    return np.ascontiguousarray(numbers & 0xFFFFFFFF).astype(np.uint32).view(np.uint8).reshape(-1, 4)
+
+
+def encode_all(pictures: list[np.ndarray]) -> list[bytes]:
+    """Files of several pictures, each made in the way that seems the shortest; they are looked at and written together."""
+    if not pictures:
+        return []
+    return _files([_parts(p, **how) for p, how in zip(pictures, chosen(pictures), strict=True)])

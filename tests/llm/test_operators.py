@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from driftmerge.llm import chaining, lattice, pieces, quality, queries, sharding, toxicity, webp
 from driftmerge.llm.components import components
 from driftmerge.llm.decontaminate import Index, decontaminate, hashed_words
-from driftmerge.llm.media import as_media, media_digest, read_media
+from driftmerge.llm.media import as_media, media_digest, read_media, stored_all
 from driftmerge.llm.near_dedup import near_duplicates
 from driftmerge.llm.suffix_dedup import remove_repeats, repeat_groups
 from tests.compare import SF, assert_same
@@ -272,6 +272,37 @@ def test_media(docs, empty):
     assert len(long) == 2 and media_digest(empty).count() == 0
 
 
+def test_media_take_the_transforms_that_pay():
+    """Stored payloads use each part of the format where it pays, and come back; a picture's bytes don't depend on its batch."""
+    rng = np.random.default_rng(9)
+    y, x = np.mgrid[:80, :64]
+    green = rng.integers(0, 256, (80, 64))
+    smooth = (2 * x + 3 * y)[..., None] + rng.integers(0, 3, (80, 64, 3))
+    tinted = np.cumsum(rng.integers(-3, 4, (80, 64)), 1) + 100
+    made = {
+        "smooth": smooth,
+        "grey": green[..., None] + rng.integers(0, 3, (80, 64, 3)),
+        "tinted": np.stack([2 * tinted - 60, tinted, 255 - tinted], -1) + 9 * y[..., None],
+        "few": rng.integers(0, 256, (200, 3))[rng.integers(0, 200, (80, 64))],
+        "noise": rng.integers(0, 256, (80, 64, 3)),
+    }
+    payloads = {k: (v & 255).astype(np.uint8).tobytes() for k, v in made.items()}
+    payloads["text"] = "".join(rng.choice(["th", "ed", "in", "er", "an", "re", "on", "st", "sh", "ly", " the ", " of ", " ", ". "], 6000)).encode()[:7680]
+    payloads["twice"] = payloads["noise"][:3840] * 2
+    files = dict(zip(payloads, stored_all(list(payloads.values())), strict=True))
+    read = {k: webp.Picture(f) for k, f in files.items()}
+    kinds = {k: {kind for kind, *_ in p.undo} for k, p in read.items()}
+    assert webp.PREDICTOR in kinds["smooth"] and kinds["grey"] == {webp.SUBTRACT_GREEN} and kinds["few"] == {webp.PALETTE}
+    assert {webp.PREDICTOR, webp.CROSS_COLOUR} <= kinds["tinted"]
+    assert read["text"].stream.cache_bits > 0
+    assert len(files["twice"]) < 0.6 * len(files["noise"]) and len(files["smooth"]) < 0.4 * len(payloads["smooth"])
+    for k, f in files.items():
+        assert stored_all([payloads[k]]) == [f]
+        assert webp.decode(f)[..., :3].tobytes() == payloads[k]
+    together = [files[k] for k in files] * 8
+    assert all(p[..., :3].tobytes() == payloads[k] for p, k in zip(webp.decode_all(together), list(files) * 8, strict=True))
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(8)
     say = lambda bad: " ".join(rng.choice(["plain", "words", "here", "and", "there", "nothing", "else"]) + rng.choice(["", "s", "ed"]) for _ in range(60)) + (" nastyword vileterm" if bad else "")
