@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from driftmerge.functions.staging import shared_dir
 from driftmerge.llm import chaining, lattice, pieces, quality, queries, sharding, toxicity, webp
 from driftmerge.llm.components import components
 from driftmerge.llm.decontaminate import Index, decontaminate, hashed_words
@@ -493,6 +494,19 @@ def repeats(spark, texts):
     return {r.doc_id: {k for s in r.spans for k in range(s.start, s.end)} for r in chaining.fuzzy_repeats(table).collect()}
 
 
+def test_fuzzy_repeats_leaves_no_tables_between_steps(spark, docs):
+    """Of the tables that a run writes those are left that its lazy result reads: the texts and the passages of both rounds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    tables = lambda: {str(s.getPath()) for s in fs.listStatus(path)} if fs.exists(path) else set()
+    before = tables()
+    out = chaining.fuzzy_repeats(docs)
+    left = tables() - before
+    assert len(left) == 3
+    assert all("zstd" in str(f.getPath()) for x in left for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(x)) if "part-" in str(f.getPath()))
+    assert out.count() == docs.count()
+
+
 def test_fuzzy_repeats_beyond_the_hub(spark):
     rng = random.Random(21)
     text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
