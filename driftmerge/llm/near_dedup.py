@@ -31,6 +31,8 @@ from driftmerge.llm.components import components
 SHORT, LONG = (48, 20), (256, 160)
 SHINGLE = 5
 PERCENT = 75
+#: Bytes of texts whose words are hashed at a time; the arrays made of them are some 24 times as large.
+SET_BYTES = 1 << 18
 #: Pairs of 32 bytes; so many at most are broadcast.
 BROADCAST_PAIRS = 100_000
 
@@ -41,7 +43,7 @@ _ODD = _random.integers(0, 1 << 63, LONG[0], dtype=np.uint64) * np.uint64(2) + n
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    for i, j in chunks(offsets):
+    for i, j in chunks(offsets, SET_BYTES):
         lower = LOWER[data[offsets[i] : offsets[j]]]
         starts, ends, first = words(lower, offsets[i : j + 1] - offsets[i], SPACED_WORDS)
         word_hash = Rolling(lower).ranges(starts, ends)

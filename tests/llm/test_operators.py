@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -18,7 +19,7 @@ from driftmerge.llm import chaining, lattice, pieces, quality, queries, sharding
 from driftmerge.llm.components import components
 from driftmerge.llm.decontaminate import Index, decontaminate, hashed_words
 from driftmerge.llm.media import as_media, media_digest, read_media, stored_all
-from driftmerge.llm.near_dedup import near_duplicates
+from driftmerge.llm.near_dedup import near_duplicates, shingle_sets
 from driftmerge.llm.suffix_dedup import remove_repeats, repeat_groups
 from tests.compare import SF, assert_same
 
@@ -177,6 +178,18 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates(docs).count() == docs.count() and near_duplicates(empty).count() == 0
 
 
+def test_shingle_sets_take_little_memory():
+    """Hashing many texts makes arrays for a part of them at a time; the sets are the same however they are cut."""
+    text = ("the quick brown fox jumps over " * 40).encode()
+    data, offsets = np.frombuffer(text * 2000, np.uint8), np.arange(2001) * len(text)
+    next(shingle_sets(data, offsets))
+    tracemalloc.start()
+    sets = [len(s) for s in shingle_sets(data, offsets)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(sets) == {6} and peak < 20e6
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)], "u long, v long")
     assert {r.node: r.root for r in components(links).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
