@@ -407,6 +407,25 @@ def test_lattice_sums_over_all_segmentations():
         assert uses[order[int(h)]] == pytest.approx(expected[piece], abs=1e-9)
 
 
+def test_lattice_finds_each_piece_without_searching_for_all_strings(spark, docs, monkeypatch):
+    held = lattice.Pieces.load()
+    names = [t.encode() for t in pieces.Vocabulary.load().pieces]
+    data, ends = np.frombuffer(b"".join(names), np.uint8), np.cumsum([len(t) for t in names])
+    starts = ends - np.array([len(t) for t in names])
+    searched, real = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x, **y: (searched.append(np.size(v)) if a is held.hashes else None) or real(a, v, *x, **y))
+    grid = lattice.Lattice(held, data, starts, ends)
+    assert sum(searched) < len(data)
+    hashes = lattice.Rolling(data).ranges(starts, ends)
+    assert all(held.hashes[grid.edges[len(t)][a]] == h for t, a, h in zip(names, starts.tolist(), hashes, strict=True))
+    some = docs.where("doc_id % 2 = 0")
+    scores = []
+    for head in (lattice.HEAD, 0):  # words that are all broadcast, or all joined
+        monkeypatch.setattr(lattice, "HEAD", head)
+        scores.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in lattice.scored(docs, lattice.learn(some)).collect()})
+    assert all(scores[1][k] == pytest.approx(v) for k, v in scores[0].items())
+
+
 def test_pieces(spark, docs, empty, monkeypatch):
     vocabulary = pieces.Vocabulary.load()
     unit = re.compile(f"{pieces.MARK}*[^{pieces.MARK}]+|{pieces.MARK}+")
