@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from driftmerge.llm.common import stage
 from driftmerge.llm.decontaminate import decontaminate
 from driftmerge.llm.near_dedup import near_duplicates
-from driftmerge.llm.pieces import decode, encode
+from driftmerge.llm.pieces import round_trip
 from driftmerge.llm.quality import judged
 from driftmerge.llm.suffix_dedup import remove_repeats
 
@@ -49,7 +49,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and whether they give the text back."""
-    found = decode(encode(docs.select("doc_id", "text")))
+    found = round_trip(docs.select("doc_id", "text"))
     restored = F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("restored")
     return found.select("doc_id", "text", F.size("ids").cast("bigint").alias("n_tokens"), "piece_score", "ids", restored)
 

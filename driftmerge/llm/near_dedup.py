@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmerge.llm.common import LOWER, SPACED_WORDS, Rolling, buffers, chunks, shingle_hashes, stage, words
+from driftmerge.llm.common import LOWER, SMALL_CHUNK_BYTES, SPACED_WORDS, Rolling, buffers, chunks, releasing, shingle_hashes, stage, words
 from driftmerge.llm.components import components
 
 #: (N, T) of the short and of the long signature.
@@ -32,7 +32,7 @@ SHORT, LONG = (48, 20), (256, 160)
 SHINGLE = 5
 PERCENT = 75
 #: Bytes of texts whose words are hashed at a time; the arrays made of them are some 24 times as large.
-SET_BYTES = 1 << 18
+SET_BYTES = SMALL_CHUNK_BYTES
 #: Pairs of 32 bytes; so many at most are broadcast.
 BROADCAST_PAIRS = 100_000
 
@@ -88,7 +88,7 @@ def _sharing(involved: DataFrame, texts: DataFrame) -> DataFrame:
     what they have in common is frequent, and what is rare in the one is not in the other.
     """
     made = f"kind {dict(texts.dtypes)['kind']}, shingle long"
-    posted = texts.join(involved, "kind", "left_semi").mapInArrow(_shingles, made)
+    posted = texts.join(involved, "kind", "left_semi").mapInArrow(releasing(_shingles), made)
     often = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle", F.floor(F.log2("n")).cast("int").alias("level"))
     found = posted.join(often, "shingle").groupBy("kind", "level").agg(F.count(F.lit(1)).cast("int").alias("n"))
     counts = found.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("m"))
@@ -122,8 +122,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     if few:
         named = F.broadcast(pairs)
         half = u.join(named, "u").select("u", "v", "text_u")
-        return v.join(half, "v").select("u", "v", "text_u", "text_v").mapInArrow(_confirm, f"u {kind}, v {kind}")
-    return pairs.join(u, "u").join(v, "v").select("u", "v", "text_u", "text_v").mapInArrow(_confirm, f"u {kind}, v {kind}")
+        return v.join(half, "v").select("u", "v", "text_u", "text_v").mapInArrow(releasing(_confirm), f"u {kind}, v {kind}")
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "text_u", "text_v").mapInArrow(releasing(_confirm), f"u {kind}, v {kind}")
 
 
 def _prefix(kinds: DataFrame, n: int, least: int) -> DataFrame:
@@ -145,13 +145,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).withColumn("_key", F.unhex(F.md5(F.coalesce("_text", F.lit("")))))
     id_type = dict(rows.dtypes)["_id"]
-    signed = stage(rows.mapInArrow(_sign(SHORT[0]), f"_id {id_type}, _key binary, n_shingles long, kind binary, sign array<int>"))
+    signed = stage(rows.mapInArrow(releasing(_sign(SHORT[0])), f"_id {id_type}, _key binary, n_shingles long, kind binary, sign array<int>"))
     kinds = stage(signed.where("kind is not null").groupBy("kind").agg(F.min("_id").alias("least_id"), F.min("_key").alias("key"), F.first("sign").alias("sign")))
 
     near = _prefix(kinds, *SHORT).select("kind").join(kinds, "kind").select("kind", "key")
     texts = rows.groupBy("_key").agg(F.first("_text").alias("_text")).join(near, F.col("_key") == F.col("key")).select("kind", "_text")
     texts = stage(texts)
-    members = stage(texts.select(F.lit(None).cast("int").alias("_id"), F.lit(None).cast("binary").alias("_key"), "_text").mapInArrow(_sign(LONG[0]), "_id int, _key binary, n_shingles long, kind binary, sign array<int>").drop("_id", "_key"))
+    members = stage(texts.select(F.lit(None).cast("int").alias("_id"), F.lit(None).cast("binary").alias("_key"), "_text").mapInArrow(releasing(_sign(LONG[0])), "_id int, _key binary, n_shingles long, kind binary, sign array<int>").drop("_id", "_key"))
     prefix = stage(_prefix(members, *LONG))
     posts = prefix.select("kind", "weight", F.explode("values").alias("at"))
 

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmerge.llm.common import buffers, chunks, packed, unpacked
+from driftmerge.llm.common import buffers, chunks, packed, releasing, unpacked
 
 MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -201,21 +201,35 @@ def _joined(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, places: np.n
     return found.cast(pa.string())
 
 
+def _decoded(lists: pa.ListArray, data: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, pa.Array]]:
+    """(place, texts) of lists of ids, some lists at a time."""
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)), dtype=np.int64)])
+    for i, j in chunks(offsets, _IDS):
+        part = lists.slice(i, j - i)
+        yield i, pc.if_else(part.is_null(), None, _joined(np.asarray(part.flatten()), offsets[i : j + 1] - offsets[i], data, places))
+
+
 def _decode(held: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, places = held.value.id_bytes()
         for batch in batches:
-            lists = batch.column("_text")
-            offsets = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)), dtype=np.int64)])
-            for i, j in chunks(offsets, _IDS):
-                part = batch.slice(i, j - i)
-                flat = np.asarray(part.column("_text").flatten())
-                texts = pc.if_else(part.column("_text").is_null(), None, _joined(flat, offsets[i : j + 1] - offsets[i], data, places))
+            for i, texts in _decoded(batch.column("_text"), data, places):
+                part = batch.slice(i, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_text"), texts], ["_row", "_text", "decoded"])
 
     return run
 
 
+def _round_trip(held: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, places = held.value.id_bytes()
+        for batch in _encode(held)(batches):
+            for i, texts in _decoded(batch.column("ids"), data, places):
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, len(texts)).columns, texts], [*batch.schema.names, "decoded"])
+
+    return run
+
+
 def _broadcast(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(Vocabulary.load(path))  # a vocabulary's size doesn't depend on the data
 
@@ -232,6 +246,19 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> D
     return out.select(*unpacked(docs.columns, text_col, {"ids", "piece_score"}), "ids", "piece_score")
 
 
+def round_trip(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """decode(encode(docs)), both by one Python process for each core of an executor.
+
+    One after the other they keep two processes for a core, and Spark hands later tasks to all of them in turn, so that each
+    holds the memory of its largest task.
+    """
+    rows = packed(docs, text_col)
+    made = "ids array<int>, piece_score double, decoded string"
+    out = rows.mapInArrow(releasing(_round_trip(_broadcast(docs.sparkSession, path))), f"_row {rows.schema['_row'].dataType.simpleString()}, _text string, {made}")
+    names = ["ids", "piece_score", "decoded"]
+    return out.select(*unpacked(docs.columns, text_col, set(names)), *names)
+
+
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str = VOCABULARY) -> DataFrame:
     """encoded with decoded, the text of its ids (null for null); a text that encode() was given comes back as it was.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmerge.llm.common import SPACED_WORDS, Rolling, buffers, chunks, mix, packed, unpacked, words
+from driftmerge.llm.common import SMALL_CHUNK_BYTES, SPACED_WORDS, Rolling, buffers, chunks, mix, packed, releasing, unpacked, words
 
 BUCKETS = 1 << 14
 #: The first six find one kind of junk and never vote good; the others judge the text as a whole.
@@ -134,7 +134,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]):
     """(batch, patterns, buckets, first) of a batch's texts in chunks; first counts from the chunk's own words."""
     for batch in batches:
         data, offsets = buffers(batch.column("_text"))
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, SMALL_CHUNK_BYTES):
             votes, shapes, first = votes_and_shapes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield _patterns(votes), shapes, first
 
@@ -183,17 +183,17 @@ def _bins(posterior: dict[int, float], weights: np.ndarray, usual: float):
 def learn(docs: DataFrame, text_col: str = "text") -> Model:
     """From all texts of docs, without any labels. What comes to the driver are counts by pattern, bucket and bin, of fixed number."""
     rows = docs.select(F.col(f"`{text_col}`").alias("_text"))
-    counts = {r.pattern: r.n for r in rows.mapInArrow(_count_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.pattern: r.n for r in rows.mapInArrow(releasing(_count_patterns), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     posterior, _ = posteriors(counts)
     sums = np.zeros((2, BUCKETS))
-    for r in rows.mapInArrow(_sum_buckets(posterior), "bucket long, good double, bad double").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect():
+    for r in rows.mapInArrow(releasing(_sum_buckets(posterior)), "bucket long, good double, bad double").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect():
         sums[:, r.bucket] = r.good, r.bad
     # A bucket that was hardly seen says little: shares are smoothed by what a fiftieth of a text's words weighs.
     share = (sums + 0.02) / (sums.sum(1, keepdims=True) + 0.02 * BUCKETS)
     weights = np.log(share[0] / share[1])
     usual = float(share[0] @ weights)
     binned = np.zeros((2, BINS))
-    for r in rows.mapInArrow(_bins(posterior, weights, usual), "bin long, good double, bad double").groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect():
+    for r in rows.mapInArrow(releasing(_bins(posterior, weights, usual)), "bin long, good double, bad double").groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect():
         binned[:, r.bin] = r.good, r.bad
     # Below bin i all is rejected: good texts lost there, bad ones kept from there on.
     error = np.concatenate([[0], np.cumsum(binned[0])]) + binned[1].sum() - np.concatenate([[0], np.cumsum(binned[1])])
@@ -206,7 +206,7 @@ def _judge(model: Model):
         for batch in batches:
             data, offsets = buffers(batch.column("_text"))
             votes, p, score = [], [], []
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, SMALL_CHUNK_BYTES):
                 v, shapes, first = votes_and_shapes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 votes += v.tolist()
                 p += [model.posterior.get(x, 0.5) for x in _patterns(v).tolist()]
@@ -227,6 +227,6 @@ def judged(docs: DataFrame, model: Model | None = None, text_col: str = "text")
     model = model or learn(docs, text_col)
     rows = packed(docs, text_col)
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, _text string, votes array<int>, posterior double, score double, kept boolean"
-    out = rows.mapInArrow(_judge(model), schema)
+    out = rows.mapInArrow(releasing(_judge(model)), schema)
     made = {"votes", "posterior", "score", "kept"}
     return out.select(*unpacked(docs.columns, text_col, made), "votes", "posterior", "score", "kept")

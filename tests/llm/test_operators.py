@@ -470,6 +470,15 @@ def test_pieces(spark, docs, empty, monkeypatch):
     assert all(next(pieces.segment([w], vocabulary))[1:] == together[w] for w in set(words))  # shared prefixes change nothing
 
 
+def test_round_trip_takes_one_python_process(spark, docs):
+    import corpus_pipeline
+
+    there, back = pieces.round_trip(docs), pieces.decode(pieces.encode(docs))
+    assert there.columns == back.columns and sorted(there.collect()) == sorted(back.collect())
+    for out in (there, corpus_pipeline.piece_encoding(spark, docs, "")):
+        assert out._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+
+
 def test_quality(docs, empty):
     counts = Counter()
     rng = random.Random(1)
