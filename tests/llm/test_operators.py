@@ -90,6 +90,18 @@ def test_remove_repeats_in_a_crowd(spark):
             assert {r.doc_id: bytes(r.kept) for r in remove_repeats(docs, min_len=least, bucket_limit=limit).collect()} == expected, (least, limit)
 
 
+def test_op1_goes_by_bytes_not_by_words(spark, tmp_path):
+    """Of passages of 57 words that two documents have, one of 400 bytes is removed and one of 399 stays, however many words it has."""
+    passage = lambda c, n: " ".join(f"{c}{i:05d}" for i in range(58))[:n]
+    long, short = passage("l", 400), passage("s", 399)
+    texts = [f"{long}1", f"2{long}3", f"{short}4", f"5{short}6", None, f"7{long[1:]}8"]
+    kept = ["1", "23", texts[2], texts[3], "", texts[5]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r)[:5] for r in queries.op1_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    sizes = [len(t or "") for t in texts]
+    assert got == {(i, n, n - len(k), int(n > len(k)), hashlib.sha256(k.encode()).hexdigest()) for i, (n, k) in enumerate(zip(sizes, kept, strict=True))}
+
+
 def test_repeat_groups(docs, empty):
     texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     for least, limit in ((400, 512), (400, 2), (30, 512)):
